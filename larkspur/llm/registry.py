@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe_codec, embedding_dedup, ngram_join, oracles, quality_rules, token_counts
+from larkspur.llm import bpe_codec, embedding_dedup, line_dedup, ngram_join, oracles, quality_rules, token_counts
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op5_bpe_codec": bpe_codec.query,
         "op10_embedding_dedup": embedding_dedup.query,
         "op6_ngram_jaccard_join": ngram_join.query,
+        "op8_line_dedup": line_dedup.query,
         "op7_quality_rules": quality_rules.query,
     }
 
