@@ -31,5 +31,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN r ON f.source = r.host"""
 
 
+
+
+def _mixing(sweeps: int = 8, steps: int = 12, rate: float = 0.7) -> str:
+    """Raking and calibration, sweep by sweep."""
+    ctes = [
+        rf"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+e AS (SELECT doc_id, source, lang, CASE WHEN contains(t, ' | ') THEN 'table'
+  WHEN (length(t) - length(translate(t, '#*$%&<>{{}}', ''))) * 20 > length(t) THEN 'symbols'
+  WHEN length(t) < (length(t) - length(replace(t, chr(10), '')) + 1) * 80 THEN 'lines' ELSE 'prose' END AS topic,
+  CAST(len(regexp_extract_all(t, '{_WORD}')) AS BIGINT) AS n_tokens FROM d),
+cell AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM e GROUP BY ALL)"""
+    ]
+    target = ", ".join(f"sqrt(sum(tokens) OVER (PARTITION BY {m})) AS t_{m}" for m in ("source", "lang", "topic"))
+    ctes.append(f"r0 AS (SELECT *, tokens AS w, {target} FROM cell)")
+    for m in ("source", "lang", "topic"):
+        ctes.append(f"z_{m} AS (SELECT sum(x) AS z FROM (SELECT DISTINCT {m}, t_{m} AS x FROM r0))")
+    last = "r0"
+    for k in range(sweeps):
+        for m in ("source", "lang", "topic"):
+            name = f"r{k + 1}_{m}"
+            by = f"sum(w) OVER (PARTITION BY {m})"
+            ctes.append(f"{name} AS (SELECT * REPLACE (CASE WHEN {by} > 0 THEN w * (t_{m} / z) / {by} ELSE 0 END AS w) FROM (SELECT {last}.*, z FROM {last}, z_{m}))")
+            ctes.append(f"{name}x AS (SELECT * EXCLUDE (z) FROM {name})")
+            last = f"{name}x"
+    ctes.append(f"raked AS MATERIALIZED (SELECT * FROM {last})")
+    ctes.append(f"s0 AS (SELECT {rate} * sum(tokens) AS budget, {rate} * sum(tokens) AS scale FROM raked)")
+    for k in range(steps):
+        ctes.append(f"s{k + 1} AS MATERIALIZED (SELECT budget, scale * budget / (SELECT sum(least(tokens, (SELECT scale FROM s{k}) * w)) FROM raked) AS scale FROM s{k})")
+    ctes.append(f"p AS (SELECT source, lang, topic, w, CASE WHEN tokens > 0 THEN least(1.0, scale * w / tokens) ELSE 0 END AS prob FROM raked, s{steps})")
+    unit = "CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0'), 1, 13)) AS UBIGINT) / 4503599627370496.0"
+    return (
+        "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, source, lang, topic, n_tokens, round(w, 6) AS weight, round(prob, 6) AS prob, "
+        f"CAST({unit} AS DOUBLE) < prob AND n_tokens > 0 AS kept FROM e JOIN p USING (source, lang, topic)"
+    )
+
+
 def oracle_sql():
-    return {"op7_quality_rules": QUALITY}
+    return {"op4_mixing": _mixing(), "op7_quality_rules": QUALITY}
