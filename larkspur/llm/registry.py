@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe_codec, embedding_dedup, line_dedup, mixing, ngram_join, oracles, quality_rules, token_counts
+from larkspur.llm import bpe_codec, embedding_dedup, line_dedup, lm_scoring, mixing, ngram_join, oracles, quality_rules, token_counts
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_token_counts": token_counts.query,
         "op4_mixing": mixing.query,
         "op5_bpe_codec": bpe_codec.query,
+        "op9_lm_scoring": lm_scoring.query,
         "op10_embedding_dedup": embedding_dedup.query,
         "op6_ngram_jaccard_join": ngram_join.query,
         "op8_line_dedup": line_dedup.query,
