@@ -1,12 +1,13 @@
 """Full-text search: tokenizers, the MATCH grammar, and its evaluation over token arrays.
 
-A query is parsed once. Terms, prefixes, phrases, NEAR groups and their boolean combinations become predicates over the arrays of
-tokens of each column, which Spark evaluates inside its own expressions; the porter and diacritics-folding tokenizers and the
-functions that need character positions (highlight, snippet, offsets, matchinfo) run Arrow-batched.
+A query is parsed once. Terms, prefixes, phrases, NEAR groups and their boolean combinations become predicates over each column's
+terms, joined to one text, which Spark evaluates in its own expressions; the porter tokenizer and the functions
+that need character positions (highlight, snippet, offsets, matchinfo) run Arrow-batched.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import struct
@@ -240,6 +241,21 @@ class Query:
         return list(walk(self.root))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Precomposed letters and what is left of them without their marks."""
+    import unicodedata
+
+    pairs = []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) > 1 and all(unicodedata.combining(c) for c in base[1:]) and chr(code).lower() == chr(code):
+            pairs.append((chr(code), base[0]))
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+_MARKED, _BASE = _plain_letters()
+
+
 def token_array(text: str, how: str) -> str:
     """Spark SQL for the array of terms of a text."""
     parts = how.split() or ["unicode61"]
@@ -247,62 +263,83 @@ def token_array(text: str, how: str) -> str:
     if parts[0] == "ascii":
         return f"regexp_extract_all({v.collate(t, 'NOCASE')}, '[a-z0-9]+', 0)"
     if parts[0] == "trigram":
-        low = t if "case_sensitive" in parts and parts[parts.index("case_sensitive") + 1] == "1" else f"lower({t})"
-        return f"(CASE WHEN length({t}) < 3 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(1, greatest(length({t}) - 2, 1)), i -> substring({low}, i, 3)) END)"
+        return f"(CASE WHEN length({t}) < 3 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(1, greatest(length({t}) - 2, 1)), i -> substring({_trigram_text(text, parts)}, i, 3)) END)"
+    if parts[0] == "unicode61":
+        return f"regexp_extract_all(regexp_replace(translate(lower({t}), '{_MARKED}', '{_BASE}'), '(?<=[\\\\p{{L}}\\\\p{{N}}])\\\\p{{M}}+', ''), '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]+', 0)"
     return f"lk_fts_terms({t}, {v.quote(how)})"
 
 
-def _places(arr: str, phrase) -> str:
-    """The positions in an array at which a phrase starts."""
-    terms, prefix = phrase[1], phrase[2]
-    n = len(terms)
-    tests = []
-    for k, t in enumerate(terms):
-        at = f"get({arr}, i + {k})"
-        tests.append(f"startswith({at}, {v.quote(t)})" if prefix and k == n - 1 else f"{at} = {v.quote(t)}")
-    if phrase[4]:
-        tests.append("i = 0")
-    return f"filter(sequence(0, size({arr}) - 1), i -> {' AND '.join(tests)})"
+def _trigram_text(text: str, parts: list[str]) -> str:
+    exact = "case_sensitive" in parts and parts[parts.index("case_sensitive") + 1] == "1"
+    return f"coalesce({text}, '')" if exact else f"lower(coalesce({text}, ''))"
+
+
+def _trigram(how: str) -> bool:
+    return how.split()[:1] == ["trigram"]
+
+
+def searched(text: str, how: str) -> str:
+    """A column as one text to search: each term between blanks of its own, so ' a  b ' is two terms in a row."""
+    if _trigram(how):
+        return _trigram_text(text, how.split())
+    return f"concat(' ', array_join({token_array(text, how)}, '  '), ' ')"
+
 
+def token_count(column: str, how: str) -> str:
+    if _trigram(how):
+        return f"greatest(length({column}) - 2, 0)"
+    return f"((length({column}) - length(replace({column}, ' ', ''))) div 2)"
 
-def _found(arr: str, phrase) -> str:
+
+def _string(phrase, how: str) -> str:
+    """What a phrase looks like in the searched text; a prefix has no end."""
     terms, prefix = phrase[1], phrase[2]
-    if not terms:
+    if _trigram(how):
+        return terms[0] + "".join(t[-1] for t in terms[1:])
+    return "".join(f" {t} " for t in terms)[: -1 if prefix else None]
+
+
+def _found(column: str, phrase, how: str) -> str:
+    if not phrase[1]:
         return "FALSE"
-    if len(terms) == 1 and not phrase[4]:
-        t = v.quote(terms[0])
-        return f"exists({arr}, t -> startswith(t, {t}))" if prefix else f"array_contains({arr}, {t})"
-    return f"(size({arr}) > 0 AND size({_places(arr, phrase)}) > 0)"
+    f = "startswith" if phrase[4] else "contains"
+    return f"{f}({column}, {v.quote(_string(phrase, how))})"
 
 
-def predicate(q: Query, arrays: list[str]) -> str:
+def count_places(column: str, phrase, how: str) -> str:
+    """How often a phrase occurs in a column."""
+    if not phrase[1]:
+        return "0"
+    s = _string(phrase, how)
+    if phrase[2]:
+        return f"regexp_count({column}, {v.quote(re.escape(s))})"
+    if phrase[4]:
+        return f"CAST({_found(column, phrase, how)} AS INT)"
+    return f"((length({column}) - length(replace({column}, {v.quote(s)}, ''))) div {len(s)})"
+
+
+def predicate(q: Query, columns: list[str]) -> str:
     def walk(n):
         if n[0] in ("and", "or"):
             return f"({walk(n[1])} {n[0].upper()} {walk(n[2])})"
         if n[0] == "not":
             return f"({walk(n[1])} AND NOT {walk(n[2])})"
-        cols = range(len(arrays)) if n[3] is None else n[3]
+        cols = [c for c in (range(len(columns)) if n[3] is None else n[3]) if columns[c] is not None]
         if n[0] == "phrase":
-            return "(" + (" OR ".join(_found(arrays[c], n) for c in cols) or "FALSE") + ")"
-        return "(" + (" OR ".join(_near(arrays[c], n[1], n[2]) for c in cols) or "FALSE") + ")"
+            return "(" + (" OR ".join(_found(columns[c], n, q.how) for c in cols) or "FALSE") + ")"
+        return "(" + (" OR ".join(_near(columns[c], n[1], n[2], q.how) for c in cols) or "FALSE") + ")"
 
     return walk(q.root) if q.root else "FALSE"
 
 
-def _near(arr: str, phrases: list, n: int) -> str:
-    """Whether starts of all phrases can be chosen with at most n tokens between the neighbours."""
-    sizes = [len(p[1]) for p in phrases]
-    reach = _places(arr, phrases[0])
-    for k in range(1, len(phrases)):
-        a, b = sizes[k - 1], sizes[k]
-        reach = f"filter({_places(arr, phrases[k])}, j -> exists({reach}, p -> CASE WHEN j >= p THEN j - (p + {a}) ELSE p - (j + {b}) END <= {n}))"
-    return f"(size({arr}) > 0 AND size({reach}) > 0)"
-
-
-def count_places(arr: str, phrase) -> str:
-    if not phrase[1]:
-        return "0"
-    return f"(CASE WHEN size({arr}) = 0 THEN 0 ELSE size({_places(arr, phrase)}) END)"
+def _near(column: str, phrases: list, n: int, how: str) -> str:
+    """Whether the phrases occur in some order with at most n tokens between neighbours."""
+    if len(phrases) > 5:
+        raise SqlError("NEAR takes five phrases at most here", "limit")
+    gap = f"(?:.){{0,{n}}}?" if _trigram(how) else f"(?: [^ ]+ ){{0,{n}}}?"
+    forms = [re.escape(_string(p, how)) + ("[^ ]* " if p[2] and not _trigram(how) else "") for p in phrases]
+    tests = [f"{column} RLIKE {v.quote(gap.join(order))}" for order in itertools.permutations(forms)]
+    return f"({' OR '.join(dict.fromkeys(tests))})"
 
 
 def match(low, a, b, scope) -> E:
@@ -316,23 +353,23 @@ def match(low, a, b, scope) -> E:
             cols = conf["columns"]
             if name == table or name in [c.lower() for c in cols] and (a[1] is None or a[1].lower() == table):
                 q = Query(pattern.const, conf["tokenize"], cols)
-                arrays = [token_array(f"{alias}.{v.ident(c)}", conf["tokenize"]) for c in cols]
+                arrays = [searched(f"{alias}.{v.ident(c)}", conf["tokenize"]) for c in cols]
                 if name != table:
                     only = [c.lower() for c in cols].index(name)
-                    arrays = [arr if i == only else "CAST(array() AS ARRAY<STRING>)" for i, arr in enumerate(arrays)]
+                    arrays = [arr if i == only else None for i, arr in enumerate(arrays)]
                 s.fts[table] = (conf | {"query": q}, alias, view)
                 return E(predicate(q, arrays), "bool")
         s = s.outer
     raise SqlError("unable to use function MATCH in the requested context", "misuse")
 
 
-def bm25_sql(arrays: list[str], phrases: list, stats: list[tuple[float, ...]], n: float, average: float, weights: list[float]) -> str:
+def bm25_sql(columns: list[str], how: str, phrases: list, stats: list[float], n: float, average: float, weights: list[float]) -> str:
     """The score of a row from the corpus statistics: document count, mean length and each phrase's document frequency."""
-    length = " + ".join(f"size({a})" for a in arrays)
+    length = " + ".join(token_count(c, how) for c in columns)
     parts = []
     for p, df in zip(phrases, stats):
         idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF) if n - df + 0.5 > 0 else LEAST_IDF
-        tf = " + ".join(f"{w!r}D * {count_places(a, p)}" for a, w in zip(arrays, weights) if True)
+        tf = " + ".join(f"{w!r}D * {count_places(c, p, how)}" for c, w in zip(columns, weights))
         parts.append(f"{idf!r}D * (({tf}) * {K1 + 1}D) / (({tf}) + {K1}D * ({1 - B}D + {B}D * ({length}) / {average!r}D))")
     return f"(-1D * ({' + '.join(parts) or '0D'}))"
 
@@ -351,9 +388,9 @@ def auxiliary(low, name: str, args, scope) -> E:
     rest = [low.expr(x, scope) for x in args[1:]]
     if name == "bm25":
         weights = [float(r.const) for r in rest] + [1.0] * (len(cols) - len(rest))
-        arrays = [token_array(f"{alias}.{v.ident(c)}", how) for c in cols]
+        columns = [searched(f"{alias}.{v.ident(c)}", how) for c in cols]
         n, average, stats = statistics(low.db.spark, view, cols, how, q.phrases())
-        return E(bm25_sql(arrays, q.phrases(), stats, n, average, weights), "real")
+        return E(bm25_sql(columns, how, q.phrases(), stats, n, average, weights), "real")
     packed = v.quote(repr([(p[1], p[2], p[3]) for p in q.phrases()]))
     if name == "highlight":
         c = rest[0].const
@@ -369,10 +406,9 @@ def auxiliary(low, name: str, args, scope) -> E:
 
 def statistics(spark, view: str, cols: list[str], how: str, phrases: list):
     """(documents, mean length, document frequency of each phrase) in one aggregation over the table."""
-    arrays = [token_array(v.ident(c), how) for c in cols]
-    inner = ", ".join(f"{a} AS a{i}" for i, a in enumerate(arrays))
-    freq = [f"count_if({' OR '.join(f'{count_places(f"a{i}", p)} > 0' for i in range(len(cols)))}) AS d{k}" for k, p in enumerate(phrases)]
-    total = " + ".join(f"size(a{i})" for i in range(len(cols)))
+    inner = ", ".join(f"{searched(v.ident(c), how)} AS a{i}" for i, c in enumerate(cols))
+    freq = [f"count_if({' OR '.join(_found(f'a{i}', p, how) for i in range(len(cols)) if p[3] is None or i in p[3]) or 'FALSE'}) AS d{k}" for k, p in enumerate(phrases)]
+    total = " + ".join(token_count(f"a{i}", how) for i in range(len(cols)))
     row = spark.sql(f"SELECT count(*) AS n, avg({total}) AS m{''.join(', ' + f for f in freq)} FROM (SELECT {inner} FROM {view})").first()
     return float(row["n"]), float(row["m"] or 1.0) or 1.0, [float(row[f"d{k}"]) for k in range(len(phrases))]
 
