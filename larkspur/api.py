@@ -68,6 +68,7 @@ class Database:
         self.changes = self.total_changes = self.last_insert_rowid = 0
         self.foreign_keys = self.case_sensitive_like = False
         self._stack: list[tuple[str | None, cat.Catalog]] = []
+        self._folder, self._lazy = None, set()
         self._changer, self._pragmas, self._closed, self._draws = Changes(self), Pragmas(self), False, 0
 
     # -- use
@@ -118,11 +119,16 @@ class Database:
         self.catalog.tables[name.lower()] = cat.external(name, df)
 
     def attach_folder(self, path: str, names=TABLES) -> Database:
-        """Registers the Parquet tables of a folder."""
-        for name in names:
-            self.register(name, read_table(self.spark, path, name))
+        """Makes the Parquet tables of a folder readable; each is opened when a statement first names it."""
+        self._folder, self._lazy = path, {n.lower() for n in names}
         return self
 
+    def _find(self, name: str) -> None:
+        if name.lower() in self._lazy:
+            self._lazy.discard(name.lower())
+            if name.lower() not in self.catalog.tables:
+                self.register(name.lower(), read_table(self.spark, self._folder, name.lower()))
+
     def explain(self, sql: str, mode: str = "formatted") -> None:
         """Spark's plan of a query."""
         self.query(sql).explain(mode)
@@ -171,9 +177,11 @@ class Database:
         return self.catalog
 
     def is_table(self, name: str) -> bool:
+        self._find(name)
         return any(name.lower() in c.tables or name.lower() in c.views for c in (self.catalog, *self.catalog.attached.values()))
 
     def table(self, schema: str | None, name: str) -> cat.Table:
+        self._find(name)
         for c in [self._schema(schema)] + (list(self.catalog.attached.values()) if schema is None else []):
             if name.lower() in c.tables:
                 return c.tables[name.lower()]
@@ -181,6 +189,7 @@ class Database:
 
     def source(self, schema: str | None, name: str):
         low = name.lower()
+        self._find(name)
         if low in ("sqlite_schema", "sqlite_master", "sqlite_temp_schema", "sqlite_temp_master"):
             view, cols = self._pragmas.master(self._schema(schema))
             return "table", (view, [(n, t, "", "") for n, t in cols], None)

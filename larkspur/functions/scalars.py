@@ -25,6 +25,19 @@ def like(args: list[E], case_sensitive: bool = False) -> E:
     if args[0].const is not MISSING and isinstance(args[0].const, str) and escape is None and "\\" not in args[0].const:
         lit = args[0].const if case_sensitive else "".join(c.lower() if c.isascii() else c for c in args[0].const)
         return E(f"({x} LIKE {v.quote(lit)})", "bool")
+    if escape is not None and isinstance(args[0].const, str):  # Spark lets the escape stand only before a wildcard
+        pattern, out, i = args[0].const, "", 0
+        while i < len(pattern):
+            c = pattern[i]
+            if c == args[2].const and i + 1 < len(pattern):
+                c, i = pattern[i + 1], i + 1
+                out += f"\\{c}" if c in "%_\\" else c
+            else:
+                out += "\\\\" if c == "\\" else c
+            i += 1
+        if not case_sensitive:
+            out = "".join(c.lower() if c.isascii() else c for c in out)
+        return E(f"({x} LIKE {v.quote(out)})", "bool")
     if escape is None:  # no character escapes: backslashes stand for themselves
         p = f"replace({p}, '\\\\', '\\\\\\\\')"
         return E(f"({x} LIKE {p} ESCAPE '\\\\')", "bool")

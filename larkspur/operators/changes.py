@@ -274,7 +274,7 @@ class Changes:
             view = view_of(delta)
             for key in keys:
                 parts, cond = self.key_sql(t, key, view)
-                delta = self.spark.sql(f"SELECT {view}.* FROM {view} QUALIFY_" if False else f"SELECT * EXCEPT (__r) FROM (SELECT {view}.*, row_number() OVER (PARTITION BY {', '.join(parts)}, CASE WHEN {cond} THEN NULL ELSE __n END ORDER BY __n DESC) AS __r FROM {view}) WHERE __r = 1")
+                delta = self.spark.sql(f"SELECT * EXCEPT (__r) FROM (SELECT {view}.*, row_number() OVER (PARTITION BY {', '.join(parts)}, CASE WHEN {cond} THEN NULL ELSE __n END ORDER BY __n DESC) AS __r FROM {view}) WHERE __r = 1")
                 view = view_of(delta)
             delta = settle(self.spark, delta)
             view = view_of(delta)

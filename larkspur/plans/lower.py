@@ -183,7 +183,7 @@ class Lowering:
             scope = Scope(cols, outer, fts)
         else:
             source, scope = None, Scope([], outer)
-        where = f" WHERE {v.truth(self.expr(c.where, scope))}" if c.where else ""
+        where = f" WHERE {self.condition(c.where, scope)}" if c.where else ""
         items = self.expand(c.items, scope)
         order = whole.order if whole is not None else []
         aliases = {n.lower(): e for n, e, given in items if given and not isinstance(e, E)}
@@ -233,6 +233,18 @@ class Lowering:
         self.agg = None
         return Rel(sql, cols)
 
+    def condition(self, e, scope: Scope) -> str:
+        """A filter. IN and NOT IN over a query become Spark's own forms where they stand alone, which join null-aware."""
+        if e[0] == "bin" and e[1] == "AND":
+            return f"({self.condition(e[2], scope)} AND {self.condition(e[3], scope)})"
+        if e[0] == "in" and isinstance(e[2], Node) and e[1][0] != "row":
+            x, rel = self.expr(e[1], scope), self.query(e[2], scope)
+            if len(rel.columns) == 1:
+                pair = v.aligned(x, rel.columns[0].e._replace(sql="c0", aff=""))
+                if not isinstance(pair, int):
+                    return f"({pair[0]} {'NOT ' if e[3] else ''}IN (SELECT {pair[1]} FROM ({rel.sql})))"
+        return v.truth(self.expr(e, scope))
+
     def _bare(self, e: E) -> E:
         """A column of a grouped query outside of aggregates: a key, or the value of one row of the group."""
         if self.agg is None or v.value(e) in self.agg.keys or not e.sql.startswith("s"):
@@ -640,8 +652,6 @@ class Lowering:
         body = f"SELECT 1 FROM ({rel.sql}) {alias} WHERE"
         # three-valued: a match, or else unknown if the comparison with some row is unknown
         maybe = " OR ".join(f"({x.sql} IS NULL OR {y.sql} IS NULL)" for x, y in zip(xs, ys))
-        if getattr(self, "filtering", False):
-            return E(f"(NOT EXISTS ({body} coalesce({test}, TRUE)))" if negated else f"EXISTS ({body} {test})", "bool")
         yes, no = ("FALSE", "TRUE") if negated else ("TRUE", "FALSE")
         return E(f"(CASE WHEN EXISTS ({body} {test}) THEN {yes} WHEN EXISTS ({body} {maybe}) THEN NULL ELSE {no} END)", "bool")
 
