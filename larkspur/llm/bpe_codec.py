@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from larkspur.llm import bpe
+from larkspur.llm.store import small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Codec:
@@ -69,7 +71,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     """
     kept = [c for c in docs.columns if c != ids_col]
     source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").schema.add(ids_col, "array<int>")
+    schema = source.drop("__text").schema.add(ids_col, T.ArrayType(T.IntegerType()))
+
+    small_batches(docs.sparkSession)
 
     def run(batches):
         c = codec(path)
@@ -88,6 +92,8 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
     source = coded.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`").alias("__ids"))
     schema = source.drop("__ids").schema.add(text_col, "string")
 
+    small_batches(coded.sparkSession)
+
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -106,6 +112,8 @@ def digest(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
     for name, kind in _FIELDS:
         schema = schema.add(name, kind)
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         c = codec(path)
         for batch in batches:
