@@ -1,34 +1,37 @@
 """Fuzzy line dedup by MinHash, keeping one line of each component of similar lines.
 
 Lines are the \\n-split parts of a text that hold a word. They are compared as sets of five-character shingles, with ASCII letters
-lower-cased and outer white space cut off. Signatures of 64 values are cut into 16 bands of 4; lines that share a band are
+lower-cased and outer white space cut off. Signatures of 128 values give 20 bands of 6; lines that share a band are
 candidates, which exact Jaccard similarity decides. Components come from a distributed union-find, and of each the
 first line by (id, line number) stays.
 
 Equal lines are one line from the start, so only different texts are compared. Band keys travel packed by chunk and bucket, and
 only keys that different lines share become rows. In a band of many lines each is compared with its neighbour and with the smallest, so the
-candidates grow with the lines and not with their square. At similarity 0.8 a pair shares no band with probability 2e-4.
+candidates grow with the lines and not with their square. At similarity 0.8 a pair shares no band with probability 0.002.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from larkspur.llm import textbytes as tb
 from larkspur.llm.graph import components
 from larkspur.llm.ngram_join import _bucket, _pack40, _runs, _unpack40
-from larkspur.llm.store import cut, partitions
+from larkspur.llm.store import cut, partitions, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-VALUES, BANDS = 64, 16
+VALUES, BANDS, ROWS = 128, 20, 6
 #: Similarity as a share of 100.
 PERCENT = 80
-#: Up to so many shingles a signature has 64 hash functions; beyond, one function in 64 bins, which are then full enough.
-FEW = 192
 BROADCAST_KEYS = 2_000_000
 _U = np.uint64
+_FACTORS = tb.mix(np.arange(101, 101 + SHINGLE, dtype=_U)) | _U(1)
+_TOKENS = tb.mix(np.arange(1, 65537, dtype=_U))
+_TOKENS32, _FACTORS32 = (_TOKENS >> _U(32)).astype(np.uint32), (_FACTORS >> _U(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = tb.mix(np.arange(1, VALUES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
@@ -36,105 +39,143 @@ def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """(start, end, text, number, hash) of each line with a word; start and end are without outer white space."""
     low = tb.lowered(buf)
     starts, ends, _ = tb.word_spans(low, off)
-    if not len(starts):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, _U),)
-    text = np.searchsorted(off, starts, "right") - 1
-    breaks = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(buf == 10, out=breaks[1:])
-    number = breaks[starts] - breaks[off[text]]
-    new = np.ones(len(starts), bool)
-    new[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
-    first = np.flatnonzero(new)
-    begin, end = starts[first], ends[np.concatenate([first[1:] - 1, [len(starts) - 1]])]
-    return begin, end, text[first], number[first], tb.spans(tb.prefix(low), begin, end)
+    breaks = np.flatnonzero(low == 10)
+    begin = np.concatenate([off[:-1], breaks + 1])
+    begin.sort(kind="stable")
+    text = np.searchsorted(off[1:], begin, "right")
+    inside = np.flatnonzero(text < len(off) - 1)  # a break that ends the chunk begins no line
+    begin, text = begin[inside], text[inside]
+    first = np.searchsorted(starts, begin)
+    last = np.concatenate([first[1:], [len(starts)]])
+    some = np.flatnonzero(last > first)
+    text = text[some]
+    number = np.searchsorted(breaks, begin[some]) - np.searchsorted(breaks, off[text])
+    begin, end = starts[first[some]], ends[last[some] - 1]
+    return begin, end, text, number, tb.spans(tb.prefix(low), begin, end)
 
 
 def _points(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the spans, one after the other, and their offsets."""
     size = end - begin
     offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
-    raw = low[at]
+    if (begin[1:] >= end[:-1]).all():
+        edge = np.zeros(len(low) + 1, np.int8)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, end, -1)
+        raw = low[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    else:
+        raw = low[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
     head = np.concatenate([[0], np.cumsum(~tb.continuation(raw))])
     return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4"), head[offsets]
 
 
-def char_shingles(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-character shingles of each span, and their offsets; a shorter span is one shingle."""
+def char_shingles(low: np.ndarray, begin: np.ndarray, end: np.ndarray, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the five-character shingles of each span, and their offsets; a shorter span is one shingle.
+
+    Signatures take 32-bit hashes, which move half the memory; comparisons take 64-bit ones.
+    """
+    tokens, factors = (_TOKENS, _FACTORS) if kind is np.uint64 else (_TOKENS32, _FACTORS32)
     points, off = _points(low, begin, end)
     n = np.diff(off)
     size = np.where(n >= SHINGLE, n - SHINGLE + 1, 1)
     offsets = np.concatenate([[0], np.cumsum(size)])
-    at = np.repeat(off[:-1] - offsets[:-1], size) + np.arange(offsets[-1])
-    last = np.repeat(off[1:], size)
-    out = np.zeros(len(at), _U)
-    padded = np.concatenate([points, np.zeros(SHINGLE, np.uint32)])
-    for i in range(SHINGLE):
-        c = np.where(at + i < last, padded[at + i], 0).astype(_U) + _U(1)
-        out = out * _U(0x9E3779B97F4A7C15) + tb.mix(c)
-    return tb.mix(out), offsets
+    if len(points) and points.max() >= 65535:
+        token = tokens[np.minimum(points, 65535)]
+        rare = np.flatnonzero(points >= 65535)
+        token[rare] = tb.mix(points[rare].astype(_U) + _U(1)).astype(kind)
+    else:
+        token = tokens[points]
+    rolled, term = token * factors[0], np.empty(len(points), kind)
+    for i in range(1, SHINGLE):
+        at = max(0, len(points) - i)
+        np.multiply(token[i:], factors[i], out=term[:at])
+        rolled[:at] += term[:at]
+    keep = np.ones(len(points), bool)
+    long = n >= SHINGLE
+    for i in range(1, SHINGLE):
+        keep[off[1:][long] - i] = False
+    short = np.flatnonzero(~long)
+    for at in short:  # the whole span, which is marked by its length
+        i, j = off[at], off[at + 1]
+        rolled[i] = ((token[i:j] * factors[: j - i]).sum(dtype=_U) + _U(j - i)).astype(kind)
+        keep[i + 1 : j] = False
+    return rolled[keep], offsets
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """MinHash signatures, VALUES columns."""
+    """MinHash signatures, VALUES columns.
+
+    A span of few shingles has a hash function for each value; a span of n has one for every n / 3 values at most, the
+    values being the least of its hashes in as many bins.
+    """
     size = np.diff(offsets)
-    out = np.empty((len(size), VALUES), _U)
-    few = size <= FEW
-    if few.any():
-        pick = np.repeat(few, size)
-        h, starts = hashes[pick], np.concatenate([[0], np.cumsum(size[few])[:-1]])
-        part = np.empty((len(starts), VALUES), _U)
-        for k in range(VALUES):
-            x = (h ^ _SALTS[k]) * _U(0xC4CEB9FE1A85EC53)
-            x ^= x >> _U(29)
-            part[:, k] = np.minimum.reduceat(x * _U(0x9E3779B97F4A7C15), starts)
-        out[few] = part
-    many = ~few
-    if many.any():
-        pick = np.repeat(many, size)
-        h, row = hashes[pick], np.repeat(np.arange(int(many.sum())), size[many])
-        bins = np.full(int(many.sum()) * VALUES, 2**64 - 1, _U)
-        np.minimum.at(bins, row * VALUES + (h & _U(VALUES - 1)).astype(np.int64), h >> _U(6))
-        bins = bins.reshape(-1, VALUES)
-        empty = bins == _U(2**64 - 1)
-        if empty.any():  # an empty bin takes the next full one, marked by the distance
-            column = np.where(empty, 4 * VALUES, np.arange(VALUES))
-            ahead = np.minimum.accumulate(np.concatenate([column, column + VALUES], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :VALUES]
-            away = ahead - np.arange(VALUES)
-            bins = np.take_along_axis(bins, ahead % VALUES, axis=1) + away.astype(_U) * _U(0xD6E8FEB86659FD93)
-        out[many] = bins
+    out = np.empty((len(size), VALUES), np.uint32)
+    bins = np.where(size < 48, 1, 2 ** np.floor(np.log2(np.clip(size // 3, 8, VALUES))).astype(np.int64))
+    order = np.argsort(bins, kind="stable")  # spans of one number of bins lie together
+    placed = np.concatenate([[0], np.cumsum(size[order])])
+    hashes = hashes[np.repeat(offsets[:-1][order] - placed[:-1], size[order]) + np.arange(placed[-1])]
+    full, salts = np.uint32(2**32 - 1), (_SALTS >> _U(32)).astype(np.uint32)
+    for b in np.unique(bins):
+        lo, hi = np.searchsorted(bins[order], [b, b + 1])
+        mine, count = order[lo:hi], hi - lo
+        h = hashes[placed[lo] : placed[hi]]
+        starts = placed[lo:hi] - placed[lo]
+        row = np.repeat(np.arange(count) * b, size[mine]) if b > 1 else None
+        part = np.empty((count, VALUES), np.uint32)
+        for k in range(VALUES // b):
+            x = h ^ salts[k]
+            x *= np.uint32(0x85EBCA6B)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0xC2B2AE35)
+            if b == 1:
+                part[:, k] = np.minimum.reduceat(x, starts)
+                continue
+            low = np.full(count * b, full)
+            np.minimum.at(low, row + (x >> np.uint32(33 - int(b).bit_length())), x)
+            low = low.reshape(-1, b)
+            empty = low == full
+            if empty.any():  # an empty bin takes the next full one, marked by the distance
+                column = np.where(empty, 4 * b, np.arange(b))
+                ahead = np.minimum.accumulate(np.concatenate([column, column + b], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :b]
+                away = ahead - np.arange(b)
+                low = np.take_along_axis(low, ahead % b, axis=1) + away.astype(np.uint32) * np.uint32(0x9E3779B1)
+            part[:, k * b : (k + 1) * b] = low
+        out[mine] = part
     return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = VALUES // BANDS
+    rows = ROWS
     out = np.zeros((len(sig), BANDS), _U)
     for b in range(BANDS):
         key = np.full(len(sig), b + 1, _U)
         for r in range(rows):
-            key = tb.mix(key ^ sig[:, b * rows + r]) + _U(r)
-        out[:, b] = tb.mix(key)
+            key = tb.mix(key ^ sig[:, b * rows + r].astype(_U)) + _U(r)
+        out[:, b] = (tb.mix(key) & ~_U(1)) | _U(b == 0)  # the last bit marks the first band
     return out
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.withColumn("key", F.xxhash64("id", "text"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines that share a band."""
+    """Pairs (a, b) of hashes of lines that share a band; a = b where a line occurs more than once."""
     buckets = max(64, 2 * partitions(docs.sparkSession))
 
     def sign(batches):
         for batch in batches:
             for _, buf, off in tb.chunks(batch.column(0)):
                 begin, end, _, _, hashes = lines_of(buf, off)
-                ids, pick = np.unique(hashes, return_index=True)
+                ids, pick, times = np.unique(hashes, return_index=True, return_counts=True)
                 if not len(ids):
                     continue
-                keys = band_keys(signatures(*char_shingles(tb.lowered(buf), begin[pick], end[pick]))).ravel()
-                ids = np.repeat(ids, BANDS)
+                place = np.argsort(pick)
+                ids, pick, times = ids[place], pick[place], times[place]
+                keys = band_keys(signatures(*char_shingles(tb.lowered(buf), begin[pick], end[pick], np.uint32)))
+                keys, ids = np.concatenate([keys.ravel(), keys[times > 1, 0]]), np.concatenate([np.repeat(ids, BANDS), ids[times > 1]])
                 order = np.argsort(keys)
                 keys, ids = keys[order], ids[order]
                 edge = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
@@ -155,6 +196,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         keys, ids = keys[order], ids[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        again = np.unique(ids[~new & (keys & _U(1) == 1)])
         keys, ids = keys[new], ids[new]
         start, size = _runs(keys)
         first = np.repeat(start, size)
@@ -162,7 +204,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         a = np.concatenate([ids[later], ids[later]])
         b = np.concatenate([ids[later - 1], ids[first[later]]])
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), _U)
-        return pa.table({"a": pair[0].view(np.int64), "b": pair[1].view(np.int64)})
+        a, b = (np.concatenate([x, again]).view(np.int64) for x in pair)
+        return pa.table({"a": a, "b": b})
 
     signed = docs.select("text").mapInArrow(sign, "bucket int, blob binary")
     return signed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
@@ -173,95 +216,89 @@ def similar(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                sets = []
-                for _, buf, off in tb.chunks(batch.column(batch.schema.get_field_index(name))):
-                    h, cuts = char_shingles(buf, off[:-1], off[1:])
-                    sets += [np.unique(h[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
-                sides.append(sets)
+            known: dict[str, np.ndarray] = {}
+            sides = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("text_a", "text_b")]
+            fresh = list(dict.fromkeys(sides[0] + sides[1]))
+            at = 0
+            for _, buf, off in tb.chunks(pa.array(fresh, pa.string())):
+                h, cuts = char_shingles(buf, off[:-1], off[1:])
+                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    x = np.sort(h[i:j])
+                    known[fresh[at]] = x[np.concatenate([[True], x[1:] != x[:-1]])]
+                    at += 1
             ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(*sides)):
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+            for i, (a, b) in enumerate(zip(*sides)):
+                x, y = known[a], known[b]
+                if len(x) < len(y):
+                    x, y = y, x
+                if 100 * len(y) >= percent * len(x):
+                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                     ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def _texts(batches):
-    """(line, text) of the different lines of each chunk."""
-    for batch in batches:
-        for _, buf, off in tb.chunks(batch.column(0)):
-            begin, end, _, _, hashes = lines_of(buf, off)
-            ids, pick = np.unique(hashes, return_index=True)
-            low = tb.lowered(buf).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids.view(np.int64)), pa.array([low[i:j] for i, j in zip(begin[pick].tolist(), end[pick].tolist())], pa.binary()).cast(pa.string())],
-                names=["line", "line_text"],
-            )
-
-
 def _places(batches):
-    """(line, id, key, number) of each line."""
+    """(line, id, key, number, line_text) of each line."""
     for batch in batches:
         for first, buf, off in tb.chunks(batch.column(1)):
-            _, _, text, number, hashes = lines_of(buf, off)
+            begin, end, text, number, hashes = lines_of(buf, off)
             at = pa.array(text + first)
+            low = tb.lowered(buf).tobytes()
+            lines = pa.array([low[i:j] for i, j in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), pa.array(number)], names=["line", "id", "key", "number"]
+                [pa.array(hashes.view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), pa.array(number), lines], names=["line", "id", "key", "number", "line_text"]
             )
 
 
-def line_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(line, component) for hashes of lines that are similar to a different line."""
-    pairs = cut(candidates(docs))
-    ends = cut(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct())
-    small = ends.count() <= BROADCAST_KEYS
-    texts = docs.select("text").mapInArrow(_texts, "line long, line_text string").join(F.broadcast(ends) if small else ends, "line", "left_semi")
-    texts = cut(texts.dropDuplicates(["line"]))
-    first = texts.select(F.col("line").alias("a"), F.col("line_text").alias("text_a"))
-    second = texts.select(F.col("line").alias("b"), F.col("line_text").alias("text_b"))
-    linked = cut(similar(pairs.join(first, "a").join(second, "b"), percent))
-    return components(linked).select(F.col("node").alias("line"), "component")
-
-
 def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, dropped): the sorted numbers of the lines that go, for each document that loses any.
+    """(key, dropped): the sorted numbers of the lines that go, for each document that loses any.
 
     key is a hash of id and text. The first line by (id, key, number), null ids last, of a component stays. Rows equal in id and
     text are one document: they lose the same lines.
     """
     rows = _numbered(docs, id_col, text_col)
-    parts = cut(line_components(rows, percent))
-    places = cut(rows.select("id", "text", "key").mapInArrow(_places, "line long, id long, key long, number long"))
+    pairs = cut(candidates(rows))
+    ends = cut(pairs.select(F.col("a").alias("line")).union(pairs.where("a <> b").select("b")).distinct())
+    small = ends.count() <= BROADCAST_KEYS
+    places = rows.select("id", "text", "key").mapInArrow(_places, "line long, id long, key long, number long, line_text string")
+    places = cut(places.join(F.broadcast(ends) if small else ends, "line", "left_semi"))
+    texts = cut(places.join(pairs.where("a <> b").select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line", "left_semi").groupBy("line").agg(F.min("line_text").alias("line_text")))
+    first = texts.select(F.col("line").alias("a"), F.col("line_text").alias("text_a"))
+    second = texts.select(F.col("line").alias("b"), F.col("line_text").alias("text_b"))
+    linked = cut(similar(pairs.where("a <> b").join(first, "a").join(second, "b"), percent))
+    parts = components(linked).select(F.col("node").alias("line"), "component")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "number")
-    lines = places.groupBy("line").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    lines = lines.join(parts, "line", "left").where("lo <> hi or component is not null").select("line", "lo", "hi", F.coalesce("component", "line").alias("component"))
+    lines = places.groupBy("line").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("times"))
+    lines = lines.join(parts, "line", "left").where("times > 1 or component is not null").select("line", "lo", F.coalesce("component", "line").alias("component"))
     lines = cut(lines)
     stay = lines.groupBy("component").agg(F.min("lo").alias("stay"))
     stay = cut(lines.join(stay, "component").select("line", F.col("stay.key").alias("stay_key"), F.col("stay.number").alias("stay_number")))
-    gone = places.join(stay, "line").where("key <> stay_key or number <> stay_number")
+    gone = places.select("line", "key", "number").join(stay, "line").where("key <> stay_key or number <> stay_number")
     return cut(gone.groupBy("key").agg(F.array_sort(F.collect_set("number")).alias("dropped")))
 
 
+_SOLID = re.compile(r"[^\x20\x09-\x0D]")
+
+
 def _without(batches):
-    """Takes the lines in the second column out of the texts in the first; the rest of a row stays."""
+    """Takes the lines in the second column out of the texts in the first, and adds the number of lines with a word before
+    and whether any is left; the rest of a row stays."""
     for batch in batches:
         names = batch.schema.names
-        text, dropped = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out, total, gone = [], [], []
-        for t, d in zip(text, dropped):
-            if t is not None and d:
-                d, kept = set(d), []
-                for i, line in enumerate(t.split("\n")):
-                    if i not in d:
-                        kept.append(line)
-                t = "\n".join(kept)
+        out, before, left = [], [], []
+        for t, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = (t or "").split("\n")
+            solid = [i for i, line in enumerate(lines) if _SOLID.search(line)]
+            if d:
+                gone = set(d)
+                t = "\n".join([line for i, line in enumerate(lines) if i not in gone])
             out.append(t)
-        columns = [pa.array(out, pa.string()), *batch.columns[2:]]
-        yield pa.RecordBatch.from_arrays(columns, names=[names[0], *names[2:]])
+            before.append(len(solid))
+            left.append(len(solid) > len(d or ()))
+        columns = [pa.array(out, pa.string()), *batch.columns[2:], pa.array(before, pa.int64()), pa.array(left, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=[names[0], *names[2:], "__before", "__left"])
 
 
 def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -280,8 +317,8 @@ def dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_
     t = names[docs.columns.index(text_col)]
     rest = [n for n in names if n != t]
     rows = joined.select(t, "dropped", F.col("dropped").isNotNull().alias("__lost"), *rest)
-    schema = rows.drop("dropped").schema
-    back = rows.mapInArrow(_without, schema).where(~F.col("__lost") | F.col(t).rlike("[^ \\t-\\r]"))
+    schema = rows.drop("dropped").schema.add("__before", "long").add("__left", "boolean")
+    back = rows.mapInArrow(_without, schema).where(~F.col("__lost") | F.col("__left"))
     return back.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
@@ -289,10 +326,9 @@ def query(spark, sf_dir):
     """(doc_id, n_lines, n_dropped, dropped, kept_sha256): lines with a word, those that go, and the digest of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     joined, (i, t) = _joined(docs, PERCENT, "doc_id", "text")
-    kept = joined.select(t, "dropped", i, F.coalesce("dropped", F.array().cast("array<bigint>")).alias("d"), F.size(F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))).alias("n"))
-    schema = kept.drop("dropped").schema
-    kept = kept.mapInArrow(_without, schema)
-    return kept.select(
-        F.col(i).alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.size("d").cast("long").alias("n_dropped"),
+    kept = joined.select(t, "dropped", i, F.coalesce("dropped", F.array().cast("array<bigint>")).alias("d"))
+    schema = kept.drop("dropped").schema.add("__before", "long").add("__left", "boolean")
+    return kept.mapInArrow(_without, schema).select(
+        F.col(i).alias("doc_id"), F.col("__before").alias("n_lines"), F.size("d").cast("long").alias("n_dropped"),
         F.col("d").alias("dropped"), F.sha2(F.coalesce(F.col(t), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-    )
+    )

@@ -40,3 +40,9 @@ def drop(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds of long texts at once: batches of so many rows and bytes at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
