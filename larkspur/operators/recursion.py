@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from larkspur.errors import SqlError
 from pyspark.sql import DataFrame, SparkSession
 
 MOST_ROUNDS = 10_000
+#: Up to so many rows are held as local rows.
+LOCAL_ROWS = 5_000
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Writes a round's rows into the shared folder, which ends its lineage."""
-    import tempfile
-
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name under spark.checkpoint.dir; only where that is unset, as in tests, under one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Writes rows into the shared folder, which ends their lineage."""
+    path = shared_folder(df.sparkSession, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows without the plan that made them: up to LOCAL_ROWS as local rows, more as files in the shared folder."""
+    head = df.limit(LOCAL_ROWS + 1).toArrow()
+    if head.num_rows <= LOCAL_ROWS:
+        out = spark.createDataFrame(head, df.schema)
+        out.local_rows = head.num_rows
+        return out
+    return keep(df)
+
+
+def size_of(df: DataFrame) -> int:
+    """The number of rows, known for what settle() holds locally."""
+    known = getattr(df, "local_rows", None)
+    return df.count() if known is None else known
 
 
 def fixpoint(spark: SparkSession, first: str, step: str, view: str, distinct: bool, limit: int | None) -> None:
@@ -29,17 +50,17 @@ def fixpoint(spark: SparkSession, first: str, step: str, view: str, distinct: bo
 
     Rounds are set operations: with distinct a round keeps only rows never seen before. limit bounds the rows.
     """
-    frontier = keep(spark.sql(first).distinct() if distinct else spark.sql(first))
+    frontier = settle(spark, spark.sql(first).distinct() if distinct else spark.sql(first))
     seen = frontier
-    count = frontier.count()
+    count = size_of(frontier)
     for _ in range(MOST_ROUNDS):
-        if limit is not None and 0 <= limit <= count or frontier.limit(1).count() == 0:
+        if limit is not None and 0 <= limit <= count or size_of(frontier) == 0:
             break
         frontier.createOrReplaceTempView(view)
         more = spark.sql(step)
-        frontier = keep(more.distinct().subtract(seen) if distinct else more)
-        count += frontier.count()
-        seen = seen.union(frontier)
+        frontier = settle(spark, more.distinct().subtract(seen) if distinct else more)
+        count += size_of(frontier)
+        seen = settle(spark, seen.union(frontier))
     else:
         raise SqlError("recursion does not end", "limit")
     (seen.limit(limit) if limit is not None and limit >= 0 else seen).createOrReplaceTempView(view)

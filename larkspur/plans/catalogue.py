@@ -307,3 +307,38 @@ def _snapshot(spark, sf_dir):
 
 _QUERIES["snapshot_open"] = _snapshot
 _ORACLES["snapshot_open"] = f"SELECT k, name FROM ({_BASE}) WHERE r = 1"
+
+
+def _mixed_order(spark, sf_dir):
+    from larkspur.operators import mixed
+    from larkspur.session import table
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    orders = table(spark, sf_dir, "orders")
+    value = F.when(F.col("o_orderkey") % 4 == 0, mixed.tag(F.col("o_totalprice"), "number"))
+    value = value.when(F.col("o_orderkey") % 4 == 1, mixed.tag(F.col("o_orderpriority"), "text"))
+    value = value.when(F.col("o_orderkey") % 4 == 2, mixed.tag(F.encode("o_orderstatus", "UTF-8"), "blob"))
+    rows = orders.select("o_orderkey", value.alias("v"))
+    rank = F.row_number().over(Window.orderBy(mixed.ascending(F.col("v")), "o_orderkey")).cast("bigint")
+    return rows.select("o_orderkey", mixed.kind(F.col("v")).alias("kind"), rank.alias("pos"))
+
+
+_QUERIES["order_mixed_class"] = _mixed_order
+_ORACLES["order_mixed_class"] = """SELECT o_orderkey, CASE m WHEN 3 THEN 'null' WHEN 0 THEN CASE WHEN o_totalprice = floor(o_totalprice) THEN 'integer' ELSE 'real' END WHEN 1 THEN 'text' ELSE 'blob' END AS kind,
+row_number() OVER (ORDER BY CASE m WHEN 3 THEN 0 ELSE m + 1 END, CASE WHEN m = 0 THEN o_totalprice END, CASE WHEN m = 1 THEN o_orderpriority WHEN m = 2 THEN o_orderstatus END, o_orderkey) AS pos
+FROM (SELECT *, o_orderkey % 4 AS m FROM orders)"""
+
+
+def _snapshot_folder(spark, sf_dir):
+    """A database written as a folder and read back."""
+    from larkspur.api import Database, Snapshot
+    from larkspur.operators.recursion import shared_folder
+
+    db = Database(spark).attach_folder(sf_dir)
+    db.exec(_COPY + "CREATE UNIQUE INDEX i ON t(name); CREATE VIEW w AS SELECT k, name FROM t WHERE r <> 1")
+    return Snapshot.decode(spark, db.snapshot().encode(shared_folder(spark, "snapshot"))).open().query("SELECT k, name FROM w")
+
+
+_QUERIES["snapshot_roundtrip"] = _snapshot_folder
+_ORACLES["snapshot_roundtrip"] = f"SELECT k, name FROM ({_BASE}) WHERE r <> 1"

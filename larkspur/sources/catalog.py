@@ -12,14 +12,13 @@ from dataclasses import dataclass, field
 
 from larkspur.errors import SqlError
 from larkspur.functions import values as v
-from larkspur.operators.recursion import keep
+from larkspur.operators.recursion import settle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Up to so many rows a changed table is held as local rows.
-LOCAL_ROWS = 5_000
 _SPARK = {"int": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "any": T.StringType(), "blob": T.BinaryType(), "null": T.StringType(), "bool": T.LongType(), "ts": T.StringType()}
 _views = itertools.count()
+__all__ = ["Catalog", "Col", "Foreign", "Index", "Key", "Table", "Trigger", "View", "external", "publish", "schema", "settle"]
 
 
 @dataclass
@@ -144,14 +143,6 @@ def schema(table: Table, types: dict[str, str] | None = None) -> T.StructType:
     return T.StructType([*cols, *(T.StructField(c.name, _SPARK[c.t]) for c in table.columns)])
 
 
-def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A changed table's rows without the plan that made them."""
-    head = df.limit(LOCAL_ROWS + 1).collect()
-    if len(head) <= LOCAL_ROWS:
-        return spark.createDataFrame([tuple(r) for r in head], df.schema)
-    return keep(df)
-
-
 def publish(table: Table, df: DataFrame) -> None:
     """Makes df the table's rows, under a view of a new name so that older plans keep what they read."""
     table.df = df
