@@ -1 +1 @@
-
+"""Set-wise changes, recursion and mixed values."""

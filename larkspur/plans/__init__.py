@@ -1 +1 @@
-
+"""Lexer, parser, lowering, and the query catalogue."""

@@ -1 +1 @@
-
+"""The catalog, outside tables, pragmas and schema tables."""

@@ -1 +1 @@
-
+"""The dialect has no streams; this package is kept for replays of tables as streams."""
