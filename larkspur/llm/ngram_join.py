@@ -4,8 +4,9 @@
    than threshold * size of them has no partner. Only fingerprints move, packed by chunk and bucket; a
    fingerprint that two shingles share can only let a document through.
 2. What is left becomes classes of equal sets. Similar classes meet in groups, keyed by two min-hashes of the set; a large
-   group is cut into parts of bounded size that share one pivot. Inside a part all links are found, and its linked
-   classes form a block. The token-group matrix holds each block's token union.
+   group is cut into parts of bounded size that share one pivot. Inside a part all links are found. Components that share a
+   min-hash are linked by one class of each. The components so far, in blocks of bounded size, are the groups of the token-group
+   matrix, which holds each block's token union.
 3. A class is a query against the blocks of other components: its tokens found in them bound the overlap. Where they reach
    threshold * size, the rarest tokens name the blocks, the overlap with each block's union is the second bound, and only then is
    the block opened and its members compared exactly.
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from larkspur.llm import textbytes as tb
 from larkspur.llm.graph import components
-from larkspur.llm.store import cut, partitions
+from larkspur.llm.store import cut, partitions, small_batches
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ PERCENT = 80
 #: Classes of a part of a group, about; keys that are sent to every executor at most.
 PART_ROWS, BROADCAST_KEYS = 1_024, 4_000_000
 _CHUNK_DOCS = 60_000
+#: Words of 64 bits in the bit map of a set.
+BIT_WORDS = 16
+_MINHASHES = ("mh1", "mh2", "mh3", "mh4")
 _U = np.uint64
 
 
@@ -187,11 +191,12 @@ def sieve(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return counted.groupBy("chunk").applyInArrow(decide, "id long, key long, n long, sig1 long, sig2 long, near boolean")
 
 
-_SET = "id long, key long, n long, sig1 long, sig2 long, mh1 long, mh2 long, tokens array<long>"
+_SALTS = (0x51ED270B, 0x2545F491, 0x1B873593, 0x38B34AE5)
+_SET = "id long, key long, n long, sig1 long, sig2 long, mh1 long, mh2 long, mh3 long, mh4 long, bits array<long>, tokens array<long>"
 
 
 def _sets(batches):
-    """The whole shingle sets, with two min-hashes."""
+    """The whole shingle sets, with min-hashes."""
     for batch in batches:
         ids, keys = batch.column(0), batch.column(2)
         for first, buf, off in tb.chunks(batch.column(1)):
@@ -203,14 +208,17 @@ def _sets(batches):
             offsets = np.concatenate([[0], np.cumsum(size)])
             sig1, sig2 = _signatures(found, text, n)
             low = []
-            for salt in (0x51ED270B, 0x2545F491):
+            for salt in _SALTS:
                 m = np.full(n, 2**64 - 1, _U)
                 if len(found):
                     full = size > 0
                     m[full] = np.minimum.reduceat(tb.mix(found ^ _U(salt)), offsets[:-1][full])
                 low.append(m.view(np.int64))
             tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.view(np.int64)))
-            columns = [ids[first : first + n], keys[first : first + n], pa.array(size), pa.array(sig1), pa.array(sig2), pa.array(low[0]), pa.array(low[1]), tokens]
+            marks = np.zeros((n, BIT_WORDS * 64), np.uint8)
+            marks[text, (tb.mix(found) % _U(BIT_WORDS * 64)).astype(np.int64)] = 1
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(marks, axis=1).view(np.int64).ravel()), BIT_WORDS).cast(pa.list_(pa.int64()))
+            columns = [ids[first : first + n], keys[first : first + n], pa.array(size), pa.array(sig1), pa.array(sig2), *map(pa.array, low), bits, tokens]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SET.split(", ")])
 
 
@@ -276,6 +284,7 @@ def links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_
     the link graph, each with its own set. A null id keeps its row, counts as a partner of nothing and has a null component.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     sieved = cut(sieve(rows, percent))
@@ -288,12 +297,13 @@ def links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_
     same = ["sig1", "sig2", "n"]
     low = sets.groupBy(*same).agg(F.min("id").alias("rep"))
     members = cut(sets.select("id", *same).join(low, same))
-    once = sets.dropDuplicates(same).join(low, same).select("rep", "n", "mh1", "mh2", "tokens")
+    once = sets.dropDuplicates(same).join(low, same).select("rep", "n", *_MINHASHES, "bits", "tokens")
     classes = cut(once)
     edges = _blocks(classes, percent)
     linked = edges.select(F.col("rep").alias("a"), F.col("block").alias("b"))
     first = cut(linked.where("a <> b"))
-    found = _opened(classes, edges, components(first), percent)
+    first = cut(first.union(_starred(classes, components(first), percent)))
+    found = _opened(classes, components(first), percent)
     other = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     parts = cut(components(first.union(found).union(other)))
     out = sieved.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"))
@@ -326,14 +336,48 @@ def _blocks(classes: DataFrame, percent: int) -> DataFrame:
     return cut(inside.union(alone))
 
 
-def _opened(classes: DataFrame, blocks: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different components, one at least for each class and block that have any."""
-    home = blocks.groupBy("rep").agg(F.min("block").alias("block"))
-    placed = classes.join(home, "rep").join(parts, F.col("rep") == F.col("node"), "left")
-    placed = cut(placed.select("rep", "n", "tokens", "block", F.coalesce("component", "rep").alias("component")))
-    matrix = placed.select("block", "component", F.explode("tokens").alias("token"))
-    shared = matrix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df"))
-    shared = cut(shared.where("lo < hi").select("token", "df"))
+def _starred(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that meet in a min-hash: one class of each is compared with one of the first.
+
+    It finds most links between the groups that one crowd of near copies falls into, at one comparison for each component and min-hash,
+    and so leaves little to step 3, which needs it for no link.
+    """
+    rows = classes.join(parts, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    keyed = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col(m).alias("mh")) for i, m in enumerate(_MINHASHES))))
+    met = rows.select("rep", "component", keyed.alias("x")).groupBy("x.k", "x.mh", "component").agg(F.min("rep").alias("a"))
+    met = cut(met)
+    first = met.groupBy("k", "mh").agg(F.min(F.struct("component", F.col("a").alias("b"))).alias("f"), F.count(F.lit(1)).alias("c"))
+    pairs = met.join(first.where("c > 1"), ["k", "mh"]).where(F.col("component") != F.col("f.component")).select("a", "f.b").distinct()
+    one, two = (classes.select(F.col("rep").alias(x), F.col("tokens").alias(f"t_{x}")) for x in "ab")
+
+    def compare(batches):
+        for batch in batches:
+            sets = [_split(batch.column(i)) for i in (2, 3)]
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)], np.int64)
+            sizes = [np.array([len(x) for x in s], np.int64) for s in sets]
+            ok = pa.array(_linked(both, *sizes, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
+
+
+def _opened(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components, one at least for each class and block that have any.
+
+    The groups of the matrix are now the components found so far, in blocks of bounded size.
+    """
+    named = classes.select("rep").join(parts, F.col("rep") == F.col("node"), "left")
+    named = cut(named.select("rep", F.coalesce("component", "rep").alias("component")))
+    sizes = named.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("blocks"))
+    named = named.join(sizes, "component").select("rep", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
+    placed = cut(classes.select("rep", "n", "bits", "tokens").join(named, "rep"))
+    matrix = placed.select("rep", "component", F.explode("tokens").alias("token"))
+    shared = matrix.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("rep")).alias("who")
+    )
+    # tokens of the same classes, such as those of one passage, stand for each other: one row for all of them
+    shared = shared.where("lo < hi").select("token", "df", F.xxhash64("df", "lo", "hi", "who").alias("kin"))
+    shared = cut(shared)
     asks = placed.select("rep", "n", "component", F.explode("tokens").alias("token")).join(shared, "token")
     found = asks.groupBy("rep", "n", "component").agg(F.count(F.lit(1)).alias("found"))
     queries = cut(found.where(F.col("found") * 100 >= F.col("n") * percent).select("rep", "n", "component"))
@@ -345,14 +389,29 @@ def _opened(classes: DataFrame, blocks: DataFrame, parts: DataFrame, percent: in
     per = per.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("by"))
     need = F.ceil(F.col("n") * percent / 100)
     rare = per.withColumn("by", F.slice("by", F.lit(1), (F.col("n") - need + 1).cast("int")))
-    rare = rare.select("rep", "component", F.explode("by.token").alias("token")).join(shared, "token", "left_semi")
-    theirs = placed.select("block", "component", F.explode("tokens").alias("token")).join(rare.select("token").distinct(), "token", "left_semi")
-    theirs = theirs.distinct().withColumnRenamed("component", "other")
-    pairs = rare.join(theirs, "token").where("component <> other").select("rep", "block").distinct()
-    pairs = cut(pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64))))
-    asking = pairs.join(placed.select("rep", "n", "tokens"), "rep").select("block", "salt", F.lit(0).alias("side"), "rep", "tokens")
-    opened = pairs.select("block", "salt").distinct().join(placed.select("block", "rep", "tokens"), "block")
-    opened = opened.select("block", "salt", F.lit(1).alias("side"), "rep", "tokens")
+    rare = rare.select("rep", F.explode("by.token").alias("token")).join(shared.select("token", "kin"), "token").select("rep", "kin").distinct()
+    rare = rare.join(placed.select("rep", "n", "component", "bits"), "rep")
+    wanted = shared.join(rare.select("kin").distinct(), "kin", "left_semi").select("token", "kin")
+    theirs = placed.select(F.col("component").alias("other"), "block", F.explode("tokens").alias("token")).join(wanted, "token")
+    words = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(BIT_WORDS)]
+    least, most = F.min("n").alias("least"), F.max("n").alias("most")
+    union = placed.groupBy(F.col("component").alias("other"), "block").agg(*words, least, most)
+    theirs = theirs.select("kin", "other", "block").distinct().join(union, ["other", "block"])
+    # a bit of the query that the union lacks is a token that no member has
+    lacking = F.lit(0)
+    for i in range(BIT_WORDS):
+        lacking = lacking + F.bit_count(F.col("bits")[i].bitwiseAND(F.bitwise_not(F.col(f"u{i}"))))
+    overlap, n = F.col("n") - lacking, F.col("n")
+    near = (F.col("component") != F.col("other")) & (100 * overlap >= percent * n) & (100 * F.col("most") >= percent * n)
+    # similar sets of sizes n and m have at least percent / (100 + percent) * (n + m) in common
+    near = near & ((100 + percent) * overlap >= percent * (n + F.col("least")))
+    pairs = cut(rare.join(theirs, (rare["kin"] == theirs["kin"]) & near).select("rep", "other", "block").distinct())
+    load = pairs.groupBy("other", "block").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("salts"))
+    pairs = cut(pairs.join(load, ["other", "block"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts"))).drop("salts"))
+    task = ["other", "block", "salt"]
+    asking = pairs.join(placed.select("rep", "tokens"), "rep").select(*task, F.lit(0).alias("side"), "rep", "tokens")
+    members = placed.select(F.col("component").alias("other"), "block", "rep", "tokens")
+    opened = pairs.select(*task).distinct().join(members, ["other", "block"]).select(*task, F.lit(1).alias("side"), "rep", "tokens")
 
     def compare(rows: pa.Table) -> pa.Table:
         side, rep, tokens = np.asarray(rows.column("side")), np.asarray(rows.column("rep")), _split(rows.column("tokens"))
@@ -372,7 +431,7 @@ def _opened(classes: DataFrame, blocks: DataFrame, parts: DataFrame, percent: in
                 b.append(rep[member[hit[0]]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(asking.union(opened).groupBy("block", "salt").applyInArrow(compare, "a long, b long"))
+    return cut(asking.union(opened).groupBy(*task).applyInArrow(compare, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
