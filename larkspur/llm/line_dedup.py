@@ -27,6 +27,7 @@ SHINGLE = 5
 VALUES, BANDS, ROWS = 128, 20, 6
 #: Similarity as a share of 100.
 PERCENT = 80
+#: Keys and numbers that are sent to every executor at most.
 BROADCAST_KEYS = 2_000_000
 _U = np.uint64
 _FACTORS = tb.mix(np.arange(101, 101 + SHINGLE, dtype=_U)) | _U(1)
@@ -303,6 +304,9 @@ def _without(batches):
 
 def _joined(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     gone = dropped_lines(docs, percent, id_col, text_col).withColumnRenamed("key", "__key")
+    held = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("dropped")).alias("m")).first()
+    if held["n"] + (held["m"] or 0) <= BROADCAST_KEYS:  # else the texts are dealt out by key
+        gone = F.broadcast(gone)
     names = [f"__c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
     i, t = (names[docs.columns.index(c)] for c in (id_col, text_col))

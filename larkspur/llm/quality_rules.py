@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from larkspur.llm import textbytes as tb
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,17 +77,22 @@ def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | Non
     """
     names = {f.split()[0] for f in _FIELDS.split(", ")}
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in names]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+    source = docs.select(*(F.col(f"`{c}`") for c in kept))
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
+    carried = text_col in kept  # a text that stays is not sent twice
+    at = kept.index(text_col) if carried else len(kept)
+    if not carried:
+        source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
     for field in _FIELDS.split(", "):
         schema = schema.add(*field.split())
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            parts = [measure_chunk(buf, off) for _, buf, off in tb.chunks(batch.column(batch.num_columns - 1))]
+            parts = [measure_chunk(buf, off) for _, buf, off in tb.chunks(batch.column(at))]
             if parts:
                 found = [pa.array(np.concatenate([p[k] for p in parts])) for k in parts[0]]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
