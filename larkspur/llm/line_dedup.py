@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, keeping one line of each component of similar lines.
 
 Lines are the \\n-split parts of a text that hold a word. They are compared as sets of five-character shingles, with ASCII letters
-lower-cased and outer white space cut off. Signatures of 128 values give 20 bands of 6; lines that share a band are
-candidates, which exact Jaccard similarity decides. Components come from a distributed union-find, and of each the
+lower-cased and outer white space cut off. Signatures of 128 values give 20 bands of 6; a line whose similar lines may be of
+another number of bins has a signature of that number too. Lines that share a band are candidates, which exact Jaccard similarity decides. Components come from a distributed union-find, and of each the
 first line by (id, line number) stays.
 
 Equal lines are one line from the start, so only different texts are compared. Band keys travel packed by chunk and bucket, and
@@ -103,25 +103,32 @@ def char_shingles(low: np.ndarray, begin: np.ndarray, end: np.ndarray, kind=np.u
     return rolled[keep], offsets
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """MinHash signatures, VALUES columns.
+def _bins(size: np.ndarray) -> np.ndarray:
+    return np.where(size < 48, 1, 2 ** np.floor(np.log2(np.clip(size // 3, 8, VALUES))).astype(np.int64))
+
+
+def signatures(hashes: np.ndarray, offsets: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash signatures, VALUES columns, and the span of each.
 
     A span of few shingles has a hash function for each value; a span of n has one for every n / 3 values at most, the
-    values being the least of its hashes in as many bins.
+    values being the least of its hashes in as many bins. Only signatures of one number of bins can agree, so a span has one
+    for each number that a similar span of its size or larger may have. Sizes count different shingles.
     """
-    size = np.diff(offsets)
-    out = np.empty((len(size), VALUES), np.uint32)
-    bins = np.where(size < 48, 1, 2 ** np.floor(np.log2(np.clip(size // 3, 8, VALUES))).astype(np.int64))
-    order = np.argsort(bins, kind="stable")  # spans of one number of bins lie together
-    placed = np.concatenate([[0], np.cumsum(size[order])])
-    hashes = hashes[np.repeat(offsets[:-1][order] - placed[:-1], size[order]) + np.arange(placed[-1])]
+    count = len(offsets) - 1
+    both = np.sort(np.repeat(np.arange(count, dtype=_U) << _U(32), np.diff(offsets)) | hashes.astype(_U))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    offsets = np.searchsorted(both, np.arange(count + 1, dtype=_U) << _U(32))
+    hashes, size = both.astype(np.uint32), np.diff(offsets)
+    least, most = _bins(size), _bins(-(-size * 100 // percent) + 1)
     full, salts = np.uint32(2**32 - 1), (_SALTS >> _U(32)).astype(np.uint32)
-    for b in np.unique(bins):
-        lo, hi = np.searchsorted(bins[order], [b, b + 1])
-        mine, count = order[lo:hi], hi - lo
-        h = hashes[placed[lo] : placed[hi]]
-        starts = placed[lo:hi] - placed[lo]
-        row = np.repeat(np.arange(count) * b, size[mine]) if b > 1 else None
+    signed, spans = [np.zeros((0, VALUES), np.uint32)], [np.zeros(0, np.int64)]
+    for b in np.unique(np.concatenate([least, most])):
+        mine = np.flatnonzero((least <= b) & (b <= most))
+        length = size[mine]
+        starts = np.cumsum(length) - length
+        h = hashes[np.repeat(offsets[mine] - starts, length) + np.arange(length.sum())]
+        count = len(mine)
+        row = np.repeat(np.arange(count) * b, length) if b > 1 else None
         part = np.empty((count, VALUES), np.uint32)
         for k in range(VALUES // b):
             x = h ^ salts[k]
@@ -141,8 +148,9 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 away = ahead - np.arange(b)
                 low = np.take_along_axis(low, ahead % b, axis=1) + away.astype(np.uint32) * np.uint32(0x9E3779B1)
             part[:, k * b : (k + 1) * b] = low
-        out[mine] = part
-    return out
+        signed.append(part)
+        spans.append(mine)
+    return np.concatenate(signed), np.concatenate(spans)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -162,7 +170,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("id", "text"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of hashes of lines that share a band; a = b where a line occurs more than once."""
     buckets = max(64, 2 * partitions(docs.sparkSession))
 
@@ -175,8 +183,9 @@ def candidates(docs: DataFrame) -> DataFrame:
                     continue
                 place = np.argsort(pick)
                 ids, pick, times = ids[place], pick[place], times[place]
-                keys = band_keys(signatures(*char_shingles(tb.lowered(buf), begin[pick], end[pick], np.uint32)))
-                keys, ids = np.concatenate([keys.ravel(), keys[times > 1, 0]]), np.concatenate([np.repeat(ids, BANDS), ids[times > 1]])
+                signed, span = signatures(*char_shingles(tb.lowered(buf), begin[pick], end[pick], np.uint32), percent)
+                keys, ids, more = band_keys(signed), ids[span], times[span] > 1
+                keys, ids = np.concatenate([keys.ravel(), keys[more, 0]]), np.concatenate([np.repeat(ids, BANDS), ids[more]])
                 order = np.argsort(keys)
                 keys, ids = keys[order], ids[order]
                 edge = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
@@ -260,7 +269,7 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     text are one document: they lose the same lines.
     """
     rows = _numbered(docs, id_col, text_col)
-    pairs = cut(candidates(rows))
+    pairs = cut(candidates(rows, percent))
     ends = cut(pairs.select(F.col("a").alias("line")).union(pairs.where("a <> b").select("b")).distinct())
     small = ends.count() <= BROADCAST_KEYS
     places = rows.select("id", "text", "key").mapInArrow(_places, "line long, id long, key long, number long, line_text string")

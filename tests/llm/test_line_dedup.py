@@ -80,3 +80,18 @@ def test_query(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ld.dedup(df).count() == 0
+
+
+def test_pairs_across_each_number_of_bins(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in (52, 100, 196, 388):
+        for _ in range(15):
+            line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n + n // 40))
+            rows += [(len(rows), line[: n - 1]), (len(rows) + 1, line)]
+    for _ in range(15):  # sizes in different shingles, not in characters
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=48))
+        rows += [(len(rows), line), (len(rows) + 1, line * 12)]
+    want = brute(rows)
+    got = {r["doc_id"] for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i for i, _ in rows if want[i]}
