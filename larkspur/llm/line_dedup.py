@@ -6,8 +6,9 @@ another number of bins has a signature of that number too. Lines that share a ba
 first line by (id, line number) stays.
 
 Equal lines are one line from the start, so only different texts are compared. Band keys travel packed by chunk and bucket, and
-only keys that different lines share become rows. In a band of many lines each is compared with its neighbour and with the smallest, so the
-candidates grow with the lines and not with their square. At similarity 0.8 a pair shares no band with probability 0.002.
+only keys that different lines share become rows. In a band of many lines each is first compared with its neighbour and with the smallest.
+Where this leaves a band's lines in different components, the pairs between them are compared exactly, in blocks that are dealt
+out. At similarity 0.8 a pair shares no band with probability 0.002.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ VALUES, BANDS, ROWS = 128, 20, 6
 PERCENT = 80
 #: Keys and numbers that are sent to every executor at most.
 BROADCAST_KEYS = 2_000_000
+#: Lines of a crowded band that a task compares with as many others.
+BLOCK = 512
 _U = np.uint64
 _FACTORS = tb.mix(np.arange(101, 101 + SHINGLE, dtype=_U)) | _U(1)
 _TOKENS = tb.mix(np.arange(1, 65537, dtype=_U))
@@ -171,7 +174,10 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of hashes of lines that share a band; a = b where a line occurs more than once."""
+    """Pairs (a, b) of hashes of lines that share a band; a = b where a line occurs more than once.
+
+    Where crowd is set, b is a line of the band a, which has pairs of lines that are not among these.
+    """
     buckets = max(64, 2 * partitions(docs.sparkSession))
 
     def sign(batches):
@@ -214,11 +220,14 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         a = np.concatenate([ids[later], ids[later]])
         b = np.concatenate([ids[later - 1], ids[first[later]]])
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), _U)
-        a, b = (np.concatenate([x, again]).view(np.int64) for x in pair)
-        return pa.table({"a": a, "b": b})
+        wide = np.flatnonzero(size > 3)  # of three lines all pairs are there
+        member = np.repeat(start[wide] - (np.cumsum(size[wide]) - size[wide]), size[wide]) + np.arange(size[wide].sum())
+        name = tb.mix(np.add.reduceat(tb.mix(ids), start)[wide]) if len(wide) else np.zeros(0, _U)  # bands of the same lines are one
+        a, b = (np.concatenate([x, again, y]).view(np.int64) for x, y in zip(pair, (np.repeat(name, size[wide]), ids[member])))
+        return pa.table({"a": a, "b": b, "crowd": np.arange(len(a)) >= len(a) - len(member)})
 
     signed = docs.select("text").mapInArrow(sign, "bucket int, blob binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return signed.groupBy("bucket").applyInArrow(meet, "a long, b long, crowd boolean").distinct()
 
 
 def similar(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -249,6 +258,72 @@ def similar(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def _alike(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each of sets is similar enough to each of others."""
+    n, size = len(sets), np.array([len(x) for x in sets + others])
+    _, column, times = np.unique(np.concatenate(sets + others), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(size)), size)
+    every = times == len(size)  # shingles that all have or only one has need no table
+    some = np.flatnonzero((times > 1) & ~every)
+    place = np.full(len(times), -1)
+    place[some] = np.arange(len(some))
+    at = place[column]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    both = np.full((n, len(others)), float(every.sum()))
+    for low in range(0, len(some), 2048):
+        i, j = np.searchsorted(at, [low, low + 2048])
+        table = np.zeros((len(size), 2048), np.float32)
+        table[row[i:j], at[i:j] - low] = 1
+        both += table[:n] @ table[n:].T
+    return 100 * both >= percent * (size[:n, None] + size[None, n:] - both)
+
+
+def joined_crowds(crowds: DataFrame, parts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """parts(line, component) joined by the similar pairs of different components in each band of crowds(a, b).
+
+    Blocks hold lines of one large component or of several small ones, and two blocks of one component are not compared.
+    """
+    lines = crowds.select(F.col("a").alias("band"), F.col("b").alias("line")).join(parts, "line", "left")
+    lines = cut(lines.withColumn("component", F.coalesce("component", "line")))
+    count = lines.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    total = count.groupBy("band").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    count = cut(count.join(total, "band").drop("kinds"))
+    if not count.limit(1).count():
+        return parts
+    own = F.xxhash64("component", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / BLOCK)))
+    shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("total") / BLOCK))
+    lines = cut(lines.join(count, ["band", "component"]).withColumn("block", F.when(F.col("n") >= BLOCK, own).otherwise(shared)).select("band", "block", "component", "line"))
+    blocks = cut(lines.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    other = blocks.select("band", *(F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")))
+    work = blocks.join(other, "band").where("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    work = work.select(F.xxhash64("band", "block", "block2").alias("unit"), "band", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    members = lines.join(work, ["band", "block"]).join(texts, "line").select("unit", "block", "component", "line_text")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        sets = []
+        for _, buf, off in tb.chunks(rows.column("line_text")):
+            h, cuts = char_shingles(buf, off[:-1], off[1:])
+            sets += [np.unique(h[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        side, of = np.asarray(rows.column("block")), np.asarray(rows.column("component"))
+        first = np.flatnonzero(side == side[0])
+        second = np.flatnonzero(side != side[0])
+        if not len(second):
+            second = first
+        ok = _alike([sets[i] for i in first], [sets[i] for i in second], percent)
+        i, j = np.nonzero(ok & (of[first][:, None] != of[second][None, :]))
+        pair = np.unique(np.stack([of[first][i], of[second][j]]), axis=1)
+        return pa.table({"a": pair[0], "b": pair[1]})
+
+    found = cut(members.groupBy("unit").applyInArrow(compare, "a long, b long"))
+    if not found.limit(1).count():
+        return parts
+    up = cut(components(found).withColumnRenamed("component", "to"))
+    alone = up.select(F.col("node").alias("line"), F.col("node").alias("component")).join(parts, "line", "left_anti")
+    every = parts.union(alone)
+    return cut(every.join(up, every["component"] == up["node"], "left").select("line", F.coalesce("to", "component").alias("component")))
+
+
 def _places(batches):
     """(line, id, key, number, line_text) of each line."""
     for batch in batches:
@@ -269,7 +344,8 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     text are one document: they lose the same lines.
     """
     rows = _numbered(docs, id_col, text_col)
-    pairs = cut(candidates(rows, percent))
+    met = cut(candidates(rows, percent))
+    pairs, crowds = met.where("not crowd").drop("crowd"), met.where("crowd").drop("crowd")
     ends = cut(pairs.select(F.col("a").alias("line")).union(pairs.where("a <> b").select("b")).distinct())
     small = ends.count() <= BROADCAST_KEYS
     places = rows.select("id", "text", "key").mapInArrow(_places, "line long, id long, key long, number long, line_text string")
@@ -278,7 +354,8 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     first = texts.select(F.col("line").alias("a"), F.col("line_text").alias("text_a"))
     second = texts.select(F.col("line").alias("b"), F.col("line_text").alias("text_b"))
     linked = cut(similar(pairs.where("a <> b").join(first, "a").join(second, "b"), percent))
-    parts = components(linked).select(F.col("node").alias("line"), "component")
+    parts = cut(components(linked).select(F.col("node").alias("line"), "component"))
+    parts = joined_crowds(crowds, parts, texts, percent)
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "number")
     lines = places.groupBy("line").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("times"))
     lines = lines.join(parts, "line", "left").where("times > 1 or component is not null").select("line", "lo", F.coalesce("component", "line").alias("component"))

@@ -95,3 +95,19 @@ def test_pairs_across_each_number_of_bins(spark):
     want = brute(rows)
     got = {r["doc_id"] for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {i for i, _ in rows if want[i]}
+
+
+def test_crowd_that_shares_a_passage(spark):
+    rng = random.Random(4)
+
+    def some(k):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+
+    passage, rows = some(44), []
+    for _ in range(700):  # similarity 0.74 to each other
+        rows.append((len(rows), passage + some(7)))
+    for i in range(60):  # 0.84 to one of them
+        rows.append((len(rows), rows[i][1][:-4] + some(4)))
+    want = brute(rows)
+    got = {r["doc_id"] for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i for i, _ in rows if want[i]}
