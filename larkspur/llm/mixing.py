@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (raking), in DataFrame operations alone.
 
 Token counts are summed by cell (source, language, topic). Raking scales the cells to the target shares of each margin in
-turn, sweep after sweep. A calibration then finds the scale at which cells, none taken more than once, give the
+turn, sweep after sweep, until the weights settle. A calibration then finds the exact scale at which cells, none taken more than once, give the
 token budget, and each document is kept with its cell's probability, by a uniform number that is a hash of its id.
 
 Targets default to tempered shares: tokens to the power TEMPER, normalised. The documents are read once into a narrow
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.5, "topic": 0.5}
-#: Share of the tokens that the mix keeps, full sweeps over the margins, and steps of the calibration.
+#: Share of the tokens that the mix keeps, full sweeps over the margins from one look at the weights to the next, and steps of the SQL's calibration.
 RATE, SWEEPS, STEPS = 0.7, 8, 12
+#: The weights have settled when a sweep moves none by this share of its cell's part of the tokens.
+SETTLED = 1e-7
 CELLS_IN_TASK = 100_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -46,7 +48,7 @@ def rake(cells: DataFrame, margins=MARGINS, temper=TEMPER, sweeps: int = SWEEPS,
     """cells(margins..., tokens) with weight: shares that meet each margin's targets, as near as raking comes.
 
     targets may give tables (margin, share) instead of tempered shares; a category that they lack has the share 0. Cells
-    without tokens have weight 0.
+    without tokens have weight 0. Sweeps go on until one moves the weights by SETTLED at most.
     """
     at = {m: Window.partitionBy(m) for m in margins}
     n = cells.count()
@@ -62,25 +64,38 @@ def rake(cells: DataFrame, margins=MARGINS, temper=TEMPER, sweeps: int = SWEEPS,
             mine = F.pow(F.sum("tokens").over(at[m]).cast("double"), F.lit(temper[m]))
             out = out.withColumn(f"__t_{m}", mine / F.lit(float(total or 1.0)))
     out = out.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for m in margins:
-            sums = F.sum("weight").over(at[m])
-            out = out.withColumn("weight", F.when(sums > 0, F.col("weight") * F.col(f"__t_{m}") / sums).otherwise(F.lit(0.0)))
-    return out.drop(*(f"__t_{m}" for m in margins))
-
-
-def calibrate(raked: DataFrame, rate: float = RATE, steps: int = STEPS) -> DataFrame:
+    all_tokens = float(cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
+    while True:
+        for k in range(sweeps):
+            if k == sweeps - 1:
+                out = out.withColumn("__before", F.col("weight"))
+            for m in margins:
+                sums = F.sum("weight").over(at[m])
+                out = out.withColumn("weight", F.when(sums > 0, F.col("weight") * F.col(f"__t_{m}") / sums).otherwise(F.lit(0.0)))
+        out = cut(out)
+        moved = F.when(F.col("tokens") > 0, F.abs(F.col("weight") - F.col("__before")) * F.lit(all_tokens) / F.col("tokens"))
+        if (out.agg(F.max(moved).alias("moved")).first()["moved"] or 0.0) <= SETTLED:
+            return out.drop("__before", *(f"__t_{m}" for m in margins))
+        out = out.drop("__before").coalesce(max(1, -(-n // CELLS_IN_TASK)))
+
+
+def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
     """raked with prob: proportional to weight over tokens, at most 1, scaled to keep rate of all tokens.
 
-    Only one number a step comes to the driver. Where no scale reaches the budget, every cell with weight is taken whole.
+    What a scale keeps is concave and made of straight pieces, so Newton's steps from 0 never overshoot and end at the exact
+    scale. Only two numbers a step come to the driver. Where no scale reaches the budget, every cell with weight is taken whole.
     """
     budget = rate * float(raked.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
-    scale = budget
-    for _ in range(steps):
-        got = raked.agg(F.sum(F.least(F.col("tokens").cast("double"), F.lit(scale) * F.col("weight"))).alias("g")).first()["g"]
-        if not got:
+    scale = 0.0
+    while True:
+        whole = F.col("tokens") <= F.lit(scale) * F.col("weight")
+        held = raked.agg(F.sum(F.when(whole, F.col("tokens").cast("double"))).alias("whole"), F.sum(F.when(~whole, F.col("weight"))).alias("open")).first()
+        if not held["open"]:
+            break
+        step = (budget - (held["whole"] or 0.0)) / held["open"]
+        if step <= scale:
             break
-        scale *= budget / got
+        scale = step
     taken = F.least(F.lit(1.0), F.lit(float(scale)) * F.col("weight") / F.col("tokens"))
     return raked.withColumn("prob", F.when(F.col("tokens") > 0, taken).otherwise(F.lit(0.0)))
 
