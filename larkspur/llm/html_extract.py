@@ -64,13 +64,16 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def page_lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of each block: 0 template by structure, 1 main text, 2 main text inside the marked article."""
+    """(text, kind) of each block: 0 template by structure, 1 main text, 2 main text inside an <article>.
+
+    Where a page has an <article>, it alone is main text; else the <main> or role=main, if there is one.
+    """
     if not page:
         return []
     out, parts, last = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, inside an article
-    skip = article = False
-    marked = None  # the kind of element that marks the main part
+    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, inside a main part (1) or an article (2)
+    skip, article = False, 0
+    marked = 0  # the nearest mark of the main text that the page has, as above
 
     def flush():
         if parts:
@@ -90,7 +93,7 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         if name not in _BLOCK and name not in _NEVER:
             if name in ("td", "th"):
                 parts.append(" ")
-            if name not in _VOID and not m[2] and _boilerplate(name, m[4], article):
+            if name not in _VOID and not m[2] and _boilerplate(name, m[4], article > 0):
                 flush()
                 stack.append((name, skip, article))
                 skip = True
@@ -111,14 +114,14 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         if name in ("p", "li", "option") and stack and stack[-1][0] == name:
             _, skip, article = stack.pop()
         stack.append((name, skip, article))
-        skip = skip or _boilerplate(name, m[4], article)
+        skip = skip or _boilerplate(name, m[4], article > 0)
         if not skip and (name == "article" or name == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", m[4], re.I)):
-            article = True
-            marked = "article" if name == "article" else marked or "main"
+            article = max(article, 2 if name == "article" else 1)
+            marked = max(marked, article)
     if last < len(page):
         parts.append(page[last:])
     flush()
-    return [(text, 0 if skip_ or (marked and not inside) else 2 if inside else 1) for text, skip_, inside in out]
+    return [(text, 0 if skip_ or inside < marked else 2 if inside == 2 else 1) for text, skip_, inside in out]
 
 
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:

@@ -66,5 +66,15 @@ def test_articles_keep_what_they_share_and_lose_template(spark):
     assert got == {1: "Quote\none", 2: "Quote\ntwo"}
 
 
+def test_main_parts_are_differenced_and_an_article_alone_decides(spark):
+    def page(i):
+        return f"<body><main><div>We use cookies</div><p>own text {i}</p><div>Read also</div></main></body>"
+
+    both = "<body><main><p>Teaser</p><article><p>Story</p></article><p>Read also</p></main></body>"
+    rows = [(i, f"http://a/{i}", page(i)) for i in range(4)] + [(9, "http://b/1", both)]
+    got = {r["page_id"]: r["text"] for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"own text {i}" for i in range(4)}, 9: "Story"}
+
+
 def test_empty(spark):
     assert he.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
