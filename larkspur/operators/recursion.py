@@ -8,7 +8,8 @@ import uuid
 from larkspur.errors import SqlError
 from pyspark.sql import DataFrame, SparkSession
 
-MOST_ROUNDS = 10_000
+#: Rounds, or rows of an ordered recursion, after which a recursion counts as endless; None for no bound.
+MOST_ROUNDS: int | None = None
 #: Up to so many rows are held as local rows.
 LOCAL_ROWS = 5_000
 
@@ -53,16 +54,16 @@ def fixpoint(spark: SparkSession, first: str, step: str, view: str, distinct: bo
     frontier = settle(spark, spark.sql(first).distinct() if distinct else spark.sql(first))
     seen = frontier
     count = size_of(frontier)
-    for _ in range(MOST_ROUNDS):
-        if limit is not None and 0 <= limit <= count or size_of(frontier) == 0:
-            break
+    rounds = 0
+    while not (limit is not None and 0 <= limit <= count or size_of(frontier) == 0):
+        if MOST_ROUNDS is not None and rounds >= MOST_ROUNDS:
+            raise SqlError("recursion does not end", "limit")
+        rounds += 1
         frontier.createOrReplaceTempView(view)
         more = spark.sql(step)
         frontier = settle(spark, more.distinct().subtract(seen) if distinct else more)
         count += size_of(frontier)
         seen = settle(spark, seen.union(frontier))
-    else:
-        raise SqlError("recursion does not end", "limit")
     (seen.limit(limit) if limit is not None and limit >= 0 else seen).createOrReplaceTempView(view)
 
 
@@ -82,7 +83,7 @@ def queue(spark: SparkSession, first: str, step: str, view: str, keys: list[str]
         best = spark.sql(f"SELECT n FROM {view} ORDER BY {', '.join(keys)}, n LIMIT 1").first()["n"]
         row = waiting.pop(best)
         out.append(row)
-        if len(out) > MOST_ROUNDS:
+        if MOST_ROUNDS is not None and len(out) > MOST_ROUNDS:
             raise SqlError("recursion does not end", "limit")
         spark.createDataFrame([row], schema).createOrReplaceTempView(view)
         for r in map(tuple, spark.sql(step).collect()):
