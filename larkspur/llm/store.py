@@ -17,14 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
-    It ends the lineage: what follows is recomputed from these files when an executor is lost.
+    It ends the lineage: what follows is recomputed from these files when an executor is lost. The files go when the session's
+    process ends, unless drop() has deleted them before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +41,22 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of what df's plan reads, as the optimizer knows it, without a job; sources of unknown size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+#: Bytes of input that one bucket of hashes stands for, about: a task holds whole buckets in memory.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets_for(df: DataFrame, least: int = 64, each: int = 2) -> int:
+    """How many buckets hashes of df's texts are dealt into: each for a shuffle partition, and more where the input is large for that."""
+    return max(least, each * partitions(df.sparkSession), -(-each * input_bytes(df) // BUCKET_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
