@@ -7,9 +7,10 @@
    group is cut into parts of bounded size that share one pivot. Inside a part all links are found. Components that share a
    min-hash are linked by one class of each. The components so far, in blocks of bounded size, are the groups of the token-group
    matrix, which holds each block's token union.
-3. A class is a query against the blocks of other components: its tokens found in them bound the overlap. Where they reach
-   threshold * size, the rarest tokens name the blocks, the overlap with each block's union is the second bound, and only then is
-   the block opened and its members compared exactly.
+3. A class is a query against the blocks of other components. Classes that share too few of their tokens with others are left out,
+   the rest have their tokens in one order, rarest first. A block lists the tokens at the head of its members' sets, each with the sizes of the sets
+   that may reach the threshold with such a member; a query meets a block in a token at the head of its own set if its size and what is left of it after the
+   token allow for it. The tokens that the block's union lacks are the second bound, and only then is the block opened and its members compared exactly.
 
 Step 3 covers every pair that step 2 has not linked, so no link is lost. Sets are compared by 64-bit shingle hashes.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from larkspur.llm import textbytes as tb
 from larkspur.llm.graph import components
-from larkspur.llm.store import cut, partitions, small_batches
+from larkspur.llm.store import buckets_for, cut, drop, small_batches
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ PART_ROWS, BROADCAST_KEYS = 1_024, 4_000_000
 _CHUNK_DOCS = 60_000
 #: Words of 64 bits in the bit map of a set.
 BIT_WORDS = 16
+#: Classes of sizes in which queries and blocks meet, for each factor e.
+SIZE_CLASSES = 10
 _MINHASHES = ("mh1", "mh2", "mh3", "mh4")
 _U = np.uint64
 
@@ -100,7 +103,7 @@ def _signatures(found: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray
 def sieve(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, key, n, sig1, sig2, near) per row of docs(id, text, key): the set's size and signature, and whether
     enough of its shingles occur in other rows for it to have a partner."""
-    buckets = max(64, 2 * partitions(docs.sparkSession))
+    buckets = buckets_for(docs)
 
     def ask(batches):
         part, seq = TaskContext.get().partitionId() << 24, 0
@@ -295,17 +298,19 @@ def links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_
         survivors = rows.join(keys, "key", "left_semi")
     sets = cut(survivors.select("id", "text", "key").mapInArrow(_sets, _SET))
     same = ["sig1", "sig2", "n"]
-    low = sets.groupBy(*same).agg(F.min("id").alias("rep"))
-    members = cut(sets.select("id", *same).join(low, same))
-    once = sets.dropDuplicates(same).join(low, same).select("rep", "n", *_MINHASHES, "bits", "tokens")
-    classes = cut(once)
+    low = cut(sets.groupBy(*same).agg(F.min("id").alias("rep")))
+    members = cut(sets.select("id", *same).join(low, same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    first = [F.col(c).alias(f"__{c}") for c in same]
+    once = sets.join(low.select("rep", *first), (F.col("id") == F.col("rep")) & (F.col("sig1") == F.col("__sig1")) & (F.col("sig2") == F.col("__sig2")) & (F.col("n") == F.col("__n")))
+    once = once.dropDuplicates(["rep", *same])  # the set of one id and text may occur more than once
+    classes = cut(once.select("rep", F.xxhash64(*same).alias("cid"), "n", *_MINHASHES, "bits", "tokens"))
+    drop(sets)
     edges = _blocks(classes, percent)
     linked = edges.select(F.col("rep").alias("a"), F.col("block").alias("b"))
     first = cut(linked.where("a <> b"))
     first = cut(first.union(_starred(classes, components(first), percent)))
     found = _opened(classes, components(first), percent)
-    other = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    parts = cut(components(first.union(found).union(other)))
+    parts = cut(components(first.union(found).union(members)))
     out = sieved.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"))
     out = out.join(parts, F.col(id_col) == F.col("node"), "left")
     return out.select(id_col, "n_shingles", F.coalesce("component", id_col).alias("component_id"))
@@ -364,52 +369,55 @@ def _starred(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 def _opened(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of different components, one at least for each class and block that have any.
 
-    The groups of the matrix are now the components found so far, in blocks of bounded size.
+    The groups of the matrix are now the components found so far, in blocks of bounded size. Of two similar sets the larger is the query, and the
+    first token that they share, in the order of all tokens, has behind it in either set all that they share: at least percent / (100 + percent)
+    of their sizes together. Tokens that no other component has come first in that order.
     """
-    named = classes.select("rep").join(parts, F.col("rep") == F.col("node"), "left")
-    named = cut(named.select("rep", F.coalesce("component", "rep").alias("component")))
+    named = classes.select("cid", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component")).distinct()
+    named = cut(named)
     sizes = named.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("blocks"))
-    named = named.join(sizes, "component").select("rep", "component", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
-    placed = cut(classes.select("rep", "n", "bits", "tokens").join(named, "rep"))
-    matrix = placed.select("rep", "component", F.explode("tokens").alias("token"))
-    shared = matrix.groupBy("token").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("rep")).alias("who")
-    )
-    # tokens of the same classes, such as those of one passage, stand for each other: one row for all of them
-    shared = shared.where("lo < hi").select("token", "df", F.xxhash64("df", "lo", "hi", "who").alias("kin"))
-    shared = cut(shared)
-    asks = placed.select("rep", "n", "component", F.explode("tokens").alias("token")).join(shared, "token")
-    found = asks.groupBy("rep", "n", "component").agg(F.count(F.lit(1)).alias("found"))
-    queries = cut(found.where(F.col("found") * 100 >= F.col("n") * percent).select("rep", "n", "component"))
-    if queries.limit(1).count() == 0:
+    named = named.join(sizes, "component").select("cid", "component", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"))
+    placed = alive = cut(classes.select("cid", "rep", "n", "bits", "tokens").join(named, "cid"))
+    enough = F.col("found") * 100 >= F.col("n") * percent
+    key = ["cid", "n", "component", "block"]
+    for last in (False, True):  # a partner has as many tokens that others share, so the second look is at those left by the first
+        matrix = alive.select(*key, F.explode("tokens").alias("token"))
+        shared = matrix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df"))
+        shared = cut(shared.where("lo < hi").select("token", "df"))
+        found = matrix.join(shared, "token").groupBy(*key)
+        if last:
+            found = found.agg(F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by"))
+            ordered = cut(found.where(enough))
+        else:
+            alive = placed.join(cut(found.agg(F.count(F.lit(1)).alias("found")).where(enough).select("cid")), "cid", "left_semi")
+    n, left = F.col("n"), F.col("found") - F.col("k")
+    most = F.floor((100 + percent) * left / percent) - n  # the largest query that may share enough from this token on
+    head = n - F.ceil(n * percent / 100) + 1 - (n - F.col("found"))
+    heads = ordered.where(head > 0).select(*key, "found", F.posexplode(F.slice("by", F.lit(1), head.cast("int"))).alias("k", "x"))
+    heads = cut(heads.select(*key, F.col("x.token").alias("token"), left.alias("left"), most.alias("most")))
+    size_class = lambda c: F.floor(F.log(c) * SIZE_CLASSES)
+    listed = heads.where("most >= n").groupBy("token", F.col("component").alias("other"), "block").agg(F.min("n").alias("least"), F.max("most").alias("most"))
+    listed = listed.withColumn("size", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))))
+    asks = heads.select("cid", "n", "component", "left", F.col("token").alias("its"), size_class(n).alias("its_size"))
+    meet = (F.col("its") == F.col("token")) & (F.col("its_size") == F.col("size")) & (F.col("component") != F.col("other"))
+    meet = meet & n.between(F.col("least"), F.col("most")) & (percent * (n + F.col("least")) <= (100 + percent) * F.col("left"))
+    pairs = cut(asks.join(listed, meet).select("cid", "other", "block").distinct())
+    if not pairs.limit(1).count():
         return classes.sparkSession.createDataFrame([], "a long, b long")
-    # of n tokens, any n - need + 1 hold one that is in a partner: the rarest name the fewest blocks
-    asks = placed.join(queries.select("rep"), "rep", "left_semi").select("rep", "n", "component", F.explode("tokens").alias("token"))
-    per = asks.join(shared, "token", "left").groupBy("rep", "n", "component")
-    per = per.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("by"))
-    need = F.ceil(F.col("n") * percent / 100)
-    rare = per.withColumn("by", F.slice("by", F.lit(1), (F.col("n") - need + 1).cast("int")))
-    rare = rare.select("rep", F.explode("by.token").alias("token")).join(shared.select("token", "kin"), "token").select("rep", "kin").distinct()
-    rare = rare.join(placed.select("rep", "n", "component", "bits"), "rep")
-    wanted = shared.join(rare.select("kin").distinct(), "kin", "left_semi").select("token", "kin")
-    theirs = placed.select(F.col("component").alias("other"), "block", F.explode("tokens").alias("token")).join(wanted, "token")
     words = [F.bit_or(F.col("bits")[i]).alias(f"u{i}") for i in range(BIT_WORDS)]
-    least, most = F.min("n").alias("least"), F.max("n").alias("most")
-    union = placed.groupBy(F.col("component").alias("other"), "block").agg(*words, least, most)
-    theirs = theirs.select("kin", "other", "block").distinct().join(union, ["other", "block"])
+    union = placed.groupBy(F.col("component").alias("other"), "block").agg(*words, F.min("n").alias("least"), F.max("n").alias("most"))
     # a bit of the query that the union lacks is a token that no member has
     lacking = F.lit(0)
     for i in range(BIT_WORDS):
         lacking = lacking + F.bit_count(F.col("bits")[i].bitwiseAND(F.bitwise_not(F.col(f"u{i}"))))
-    overlap, n = F.col("n") - lacking, F.col("n")
-    near = (F.col("component") != F.col("other")) & (100 * overlap >= percent * n) & (100 * F.col("most") >= percent * n)
-    # similar sets of sizes n and m have at least percent / (100 + percent) * (n + m) in common
-    near = near & ((100 + percent) * overlap >= percent * (n + F.col("least")))
-    pairs = cut(rare.join(theirs, (rare["kin"] == theirs["kin"]) & near).select("rep", "other", "block").distinct())
+    overlap = n - lacking
+    near = (100 * overlap >= percent * n) & (100 * F.col("most") >= percent * n) & ((100 + percent) * overlap >= percent * (n + F.col("least")))
+    asked = placed.select("cid", "n", "bits").join(pairs, "cid")
+    pairs = cut(asked.join(union, ["other", "block"]).where(near).select("cid", "other", "block"))
     load = pairs.groupBy("other", "block").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("salts"))
-    pairs = cut(pairs.join(load, ["other", "block"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts"))).drop("salts"))
+    pairs = cut(pairs.join(load, ["other", "block"]).withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts"))).drop("salts"))
     task = ["other", "block", "salt"]
-    asking = pairs.join(placed.select("rep", "tokens"), "rep").select(*task, F.lit(0).alias("side"), "rep", "tokens")
+    asking = pairs.join(placed.select("cid", "rep", "tokens"), "cid").select(*task, F.lit(0).alias("side"), "rep", "tokens")
     members = placed.select(F.col("component").alias("other"), "block", "rep", "tokens")
     opened = pairs.select(*task).distinct().join(members, ["other", "block"]).select(*task, F.lit(1).alias("side"), "rep", "tokens")
 
@@ -431,7 +439,10 @@ def _opened(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
                 b.append(rep[member[hit[0]]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(asking.union(opened).groupBy(*task).applyInArrow(compare, "a long, b long"))
+    links = cut(asking.union(opened).groupBy(*task).applyInArrow(compare, "a long, b long"))
+    drop(placed)
+    drop(heads)
+    return links
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

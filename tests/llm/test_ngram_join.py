@@ -88,3 +88,43 @@ def test_empty_and_clashing_names(spark):
     rows = [(1, "a b c d e f", "k", 5, "c"), (2, "a b c d e f", "k", 5, "c"), (3, "z", None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, n long, component string")
     assert sorted(r["doc_id"] for r in nj.keep_one(df).collect()) == [1, 3]
+
+
+def crowds(seed):
+    """Documents that share a passage of most of their words, at similarities on either side of the threshold, of many sizes."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(3000)]
+    rows = []
+    for length in (12, 40, 90):
+        passage = rng.choices(words, k=length)
+        for _ in range(70):
+            own = rng.randint(0, length // 4)
+            text = [f"u{rng.randrange(10**9)}" for _ in range(own)]
+            k = rng.randint(0, own)
+            rows.append((len(rows), " ".join(text[:k] + passage + text[k:])))
+    halves = [rng.choices(words, k=30) for _ in range(5)]
+    for _ in range(60):
+        rows.append((len(rows), " ".join(rng.choice(halves) + rng.choice(halves) + rng.choices(words, k=rng.randint(0, 3)))))
+    return rows
+
+
+def test_the_matrix_alone_finds_every_link(spark, monkeypatch):
+    """Step 3 without the links of step 2."""
+    alone = lambda classes, percent: classes.select("rep", nj.F.col("rep").alias("block"))
+    none = lambda classes, parts, percent: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(nj, "PART_ROWS", 5)
+    for rows in (corpus(3), crowds(4)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        with monkeypatch.context() as m:
+            m.setattr(nj, "_blocks", alone)
+            m.setattr(nj, "_starred", none)
+            assert answer(nj.links(df)) == brute_links(rows)
+        assert answer(nj.links(df)) == brute_links(rows)
+
+
+def test_other_thresholds_and_the_shuffled_side(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BROADCAST_KEYS", -1)
+    rows = crowds(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for percent in (50, 100):
+        assert answer(nj.links(df, percent)) == brute_links(rows, percent)
