@@ -225,13 +225,32 @@ class Bounded(dict):
         return found
 
 
-def letter_class() -> tuple[str, str]:
-    """Bodies of character classes for letters and numbers, from the Unicode categories."""
+def newer_characters() -> tuple[set[str], dict[str, set[str]]]:
+    """Characters that the tokenizers library's Unicode tables have and Python's lack, and which of these are letters (L) and numbers (N).
+
+    The library is asked for its tables, whatever versions of either are installed.
+    """
+    import unicodedata
+
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    unknown = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+
+    def among(pattern: str) -> set[str]:
+        return set("".join(piece for piece, _ in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(unknown)))
+
+    return among(r"\P{Cn}+"), {"L": among(r"\p{L}+"), "N": among(r"\p{N}+")}
+
+
+def letter_class(more: dict[str, set[str]] | None = None) -> tuple[str, str]:
+    """Bodies of character classes for letters and numbers, from the Unicode categories and the characters in more."""
     import unicodedata
 
+    more = {c: kind for kind, chars in (more or {}).items() for c in chars}
     found = {"L": [], "N": []}
     for code in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(code))[0]
+        kind = more.get(chr(code)) or unicodedata.category(chr(code))[0]
         if kind in found:
             spans = found[kind]
             if spans and spans[-1][1] == code - 1:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from larkspur.llm import bpe
-from larkspur.llm.store import small_batches
+from larkspur.llm.store import free_name, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +70,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     A column of docs that is already named ids_col is replaced.
     """
     kept = [c for c in docs.columns if c != ids_col]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").schema.add(ids_col, T.ArrayType(T.IntegerType()))
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(free_name(kept, "__text")))
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     small_batches(docs.sparkSession)
 
@@ -89,8 +89,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """coded with the text of each array of ids; a null array gives the empty text."""
     kept = [c for c in coded.columns if c != text_col]
-    source = coded.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`").alias("__ids"))
-    schema = source.drop("__ids").schema.add(text_col, "string")
+    source = coded.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`").alias(free_name(kept, "__ids")))
+    schema = coded.select(*(F.col(f"`{c}`") for c in kept)).schema.add(text_col, "string")
 
     small_batches(coded.sparkSession)
 
@@ -107,8 +107,8 @@ def digest(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
     """Encodes, then decodes the ids, and keeps digests of both. A null text counts as empty."""
     names = [n for n, _ in _FIELDS]
     kept = [c for c in keep if c not in names]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").schema
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(free_name(kept, "__text")))
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
     for name, kind in _FIELDS:
         schema = schema.add(name, kind)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from larkspur.llm import textbytes as tb
-from larkspur.llm.store import cut, small_batches
+from larkspur.llm.store import cut, free_name, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +82,7 @@ def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | Non
     carried = text_col in kept  # a text that stays is not sent twice
     at = kept.index(text_col) if carried else len(kept)
     if not carried:
-        source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text"))
+        source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias(free_name(kept, "__text")))
     for field in _FIELDS.split(", "):
         schema = schema.add(*field.split())
     small_batches(docs.sparkSession)

@@ -13,7 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from larkspur.llm import bpe
-from larkspur.llm.store import small_batches
+from larkspur.llm.store import free_name, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +21,19 @@ LIMIT = 2048
 
 
 class Counter:
-    """Counts tokens of whole texts as the vocabulary's own library does, without added special tokens."""
+    """Counts tokens of whole texts as the vocabulary's own library does, without added special tokens.
+
+    Texts with characters that only the library's Unicode tables know are normalised by the library.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         v = self.v = bpe.Vocabulary(path)
         encoder = bpe.PrefixEncoder(v)
-        letters, numbers = bpe.letter_class()
+        self.newer, kinds = bpe.newer_characters()
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        letters, numbers = bpe.letter_class(kinds)
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{bpe.SPACE_CLASS}{letters}{numbers}]+")
         self.special = re.compile("|".join(map(re.escape, v.special)))
         suffix = bpe.END if v.suffix else 0
@@ -56,6 +63,8 @@ class Counter:
 
     def _plain(self, text: str) -> int:
         if not text.isascii():
+            if not self.newer.isdisjoint(text):
+                return sum(map(self.counts.__getitem__, self.pattern.findall(self.normalizer.normalize_str(text))))
             # each character is lowered by itself, so a capital sigma never takes its final form
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return sum(map(self.counts.__getitem__, self.pattern.findall(text.lower())))
@@ -69,11 +78,14 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, path: str, keep: tuple[str, ...], text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """The columns in keep with n_bytes, n_tokens and over_limit of each whole text.
 
-    A null text counts as empty: no bytes, no tokens, not over. Rows are independent; repeated rows stay.
+    A null text counts as empty: no bytes, no tokens, not over. Rows are independent; repeated rows stay. A column in keep that is
+    named like a result is replaced by it. Texts of any length are counted whole; there are no ties.
     """
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias("__text"))
-    schema = source.drop("__text").schema
-    for name, kind in (("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")):
+    results = (("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean"))
+    kept = [F.col(f"`{c}`") for c in keep if c not in dict(results)]
+    schema = docs.select(*kept).schema
+    source = docs.select(*kept, F.col(f"`{text_col}`").alias(free_name(keep, "__text")))
+    for name, kind in results:
         schema = schema.add(name, kind)
 
     small_batches(docs.sparkSession)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -25,6 +26,31 @@ def test_token_counts_agree_with_the_library(spark):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 2048)
 
 
+def test_token_counts_with_newer_letters(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(3)
+    alphabet = [*"aÀé e\u0301Σ9 \u1c89\ua7cb\ua7dc\U00010d40\U0001e5d0\U00013808\U00016d68\U00016d67\U000113c2\U000113b8", "don't "]
+    counter = token_counts.counter(path)
+    for _ in range(1500):
+        t = "".join(rng.choices(alphabet, k=rng.randint(1, 12)))
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), ascii(t)
+
+
+def test_token_counts_with_clashing_names_and_without_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(1, "two words", "clash", None), (1, "two words", "clash", None)], "doc_id long, text string, n_tokens string, __text string")
+    got = token_counts.count_tokens(df, path, ("doc_id", "n_tokens", "__text", "text")).collect()
+    assert [(r["doc_id"], r["text"], r["n_tokens"], r["__text"]) for r in got] == [(1, "two words", 2, None)] * 2
+    assert token_counts.count_tokens(df.limit(0), path, ("doc_id",)).count() == 0
+
+
+def test_codec_without_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe_codec.decode(bpe_codec.encode(df, path), path).count() == bpe_codec.digest(df, path).count() == 0
+
+
 def test_whole_tokens_are_proven():
     counter = token_counts.counter(public_tokenizers.path("word_bpe_49k.json"))
     v = counter.v
