@@ -7,7 +7,8 @@ inserted empty one, with its piece of the rendered text; the pieces of a convers
 
 Turns are dealt out by range of (conversation, turn), so one conversation may lie in many tasks. A task sums up its part
 of such a conversation as the costs from each state to each other; composing these gives every part the costs it starts with, and the
-way back gives every part the state it must end in. Only these few numbers, two parts for a task at most, come to the driver.
+way back gives every part the state it must end in. Only these few numbers, two parts for a task at most, come to the driver. The dynamic program
+reads roles alone; texts are joined to its steps and rendered row by row, however long they are.
 """
 
 from __future__ import annotations
@@ -109,9 +110,6 @@ def pieces(path: list[tuple], texts: list[str | None], extra: tuple[int, ...]):
         yield None, role, "inserted", _CLOSE + _open(role, "")
 
 
-_OUT = "turn long, step long, role string, action string, piece string"
-
-
 def format_turns(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -119,7 +117,8 @@ def format_turns(
 
     step orders the rows of a conversation. Turns are ordered by number (null first), then role and text, so repeated turns have a
     fixed order. A null text is empty; a null or unknown role is relabelled; rows with a null conversation form one
-    conversation. The rendering is the pieces in order, and after the last of them the closing mark.
+    conversation. Rows repeated whole are turns of their own. Other columns are not read, whatever their names. The rendering is the pieces
+    in order, and after the last of them the closing mark.
     """
     rows = turns.select(
         F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.col(f"`{text_col}`").alias("text")
@@ -187,29 +186,41 @@ def format_turns(
                 target[part, run] = end
                 end = found[part, run]["came"][end]
     last = {c[-1][:2] for c in chains}
-    kind = rows.schema["conv"].dataType.simpleString()
 
-    def render(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("pos")
-        hashed = rows.column("hash").to_pylist()
-        cuts = [0, *(i for i in range(1, len(hashed)) if hashed[i] != hashed[i - 1]), len(hashed)]
-        part, turn, conv = rows.column("part")[0].as_py(), rows.column("turn").to_pylist(), rows.column("conv")
-        role, text = [role_number(r) for r in rows.column("role").to_pylist()], rows.column("text").to_pylist()
-        at, out = [], []
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+    def steps(rows: pa.Table) -> pa.Table:
+        """What happens to each turn: the state before it and its own, the action, the role inserted before it, the roles inserted after it."""
+        rows, part, found = runs(rows)
+        pos, role, out = rows.column("pos").to_pylist(), [role_number(r) for r in rows.column("role").to_pylist()], []
+        for k, (_, a, b) in enumerate(found):
             cost, back = forward(role[a:b], start.get((part, k), [0, _FAR, _FAR, _FAR]))
             end = target.get((part, k), best_end(cost))
             extra = _END[end][1] if (part, k) not in target or (part, k) in last else ()
-            base = (part << 40) + 4 * a
-            for i, state, action, piece in pieces(trace(back, end), text[a:b], extra):
-                at.append(a)
-                out.append((None if i is None else turn[a + i], base, ROLES[state], action, piece))
-                base += 1
-        cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))]
-        return pa.table([conv.take(pa.array(at, pa.int64())), *cols], names=["conv", "turn", "step", "role", "action", "piece"])
-
-    keyed = dealt.withColumn("hash", F.xxhash64("conv", F.isnull("conv")))
-    return keyed.groupBy("part").applyInArrow(render, f"conv {kind}, {_OUT}")
+            for i, (came, state, _, action, inserted) in enumerate(trace(back, end), a):
+                out.append((part, pos[i], came, state, action, inserted, extra if i == b - 1 else ()))
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "pos", "came", "state", "action", "inserted", "extra"), zip(*out), types)})
+
+    plan = cut(narrow.groupBy("part").applyInArrow(steps, "part int, pos long, came int, state int, action string, inserted int, extra array<int>"))
+    return _rendered(dealt.join(plan, ["part", "pos"]))
+
+
+def _rendered(turns: DataFrame) -> DataFrame:
+    """The rows of pieces(), by expressions on one turn at a time: texts meet no Python and no task gathers them."""
+    names = F.array(*(F.lit(r) for r in ROLES[1:]))
+    role = lambda state: F.element_at(names, state)
+    opened = lambda state, text: F.concat(F.lit("<|"), role(state), F.lit("|>\n"), text)
+    row = lambda turn, k, state, action, piece: F.struct(turn.alias("turn"), k.cast("long").alias("k"), role(state).alias("role"), action.alias("action"), piece.alias("piece"))
+    none, inserted = F.lit(None).cast("long"), F.lit("inserted")
+    text, closed = F.coalesce("text", F.lit("")), F.when(F.col("came") > 0, F.lit(_CLOSE)).otherwise(F.lit(""))
+    before = F.when(F.col("inserted") > 0, F.lit(_CLOSE)).otherwise(closed)
+    piece = F.when(F.col("action").endswith("merge"), F.concat(F.lit("\n\n"), text)).otherwise(F.concat(before, opened(F.col("state"), text)))
+    ahead = row(none, F.lit(0), F.greatest("inserted", F.lit(1)), inserted, F.concat(closed, opened(F.greatest("inserted", F.lit(1)), F.lit(""))))
+    own = row(F.col("turn"), F.lit(1), F.col("state"), F.col("action"), piece)
+    after = F.transform("extra", lambda x, i: row(none, 2 + i, x, inserted, F.concat(F.lit(_CLOSE), opened(x, F.lit("")))))
+    every = F.concat(F.when(F.col("inserted") > 0, F.array(ahead, own)).otherwise(F.array(own)), after)
+    step = F.shiftleft(F.col("part").cast("long"), 40) + 4 * F.col("pos")
+    turns = turns.select("conv", step.alias("step"), F.explode(every).alias("x"))
+    return turns.select("conv", "x.turn", (F.col("step") + F.col("x.k")).alias("step"), "x.role", "x.action", "x.piece")
 
 
 def query(spark, sf_dir):

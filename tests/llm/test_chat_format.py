@@ -63,3 +63,18 @@ def test_conversations_over_many_tasks(spark, monkeypatch):
 
 def test_empty(spark):
     assert cf.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_long_texts_repeated_rows_and_clashing_names(spark):
+    long = "x" * 300_000
+    rows = [(1, 0, "user", long, "p", 5, "s"), (1, 1, "assistant", "ok", "p", 5, "s"), (1, 1, "assistant", "ok", "p", 5, "s"), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part string, pos int, step string")
+    out = sorted(((r["conv"] or 0, r["step"], r["turn"], r["role"], r["action"], r["piece"]) for r in cf.format_turns(df).collect()), key=lambda r: r[:2])
+    assert [r[2:] for r in out if r[0]] == [(0, "user", "keep", "<|user|>\n" + long), (1, "assistant", "keep", "<|end|>\n<|assistant|>\nok"), (1, "assistant", "merge", "\n\nok")]
+    assert "".join(r[5] for r in out if not r[0]) == rendered([None], [None])
+
+
+def test_other_column_names(spark):
+    df = spark.createDataFrame([("c", 1, "user", "hi")], "thread string, n int, who string, said string")
+    out = sorted((r["step"], r["role"], r["piece"]) for r in cf.format_turns(df, "thread", "n", "who", "said").collect())
+    assert [r[1:] for r in out] == [("user", "<|user|>\nhi"), ("assistant", "<|end|>\n<|assistant|>\n")]
