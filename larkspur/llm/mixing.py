@@ -100,33 +100,40 @@ def calibrate(raked: DataFrame, rate: float = RATE) -> DataFrame:
     return raked.withColumn("prob", F.when(F.col("tokens") > 0, taken).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, rate: float = RATE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def mix(
+    docs: DataFrame, rate: float = RATE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    topic_col: str | None = None, targets: dict[str, DataFrame] | None = None,
+) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, prob, kept) for each row of docs.
 
-    Tokens are words. A null source or language counts as ''; a null text has no tokens, and a document without tokens is not
-    kept: its probability is 0. Rows that repeat an id share their uniform number.
+    targets gives tables (source, share), (lang, share) or (topic, share) under the margin's name; margins without one have tempered shares.
+    topic_col names a column of topics; without it the topic is that of the text's form. Tokens are words. A null source, language or
+    topic counts as ''; a null text has no tokens, and a document without tokens is not
+    kept: its probability is 0. Rows that repeat an id share their uniform number. Texts of any length are counted whole; other columns are
+    not read, whatever their names.
     """
-    return _mixed(_features(docs, id_col, text_col, source_col, lang_col), rate, seed)
+    return _mixed(_features(docs, id_col, text_col, source_col, lang_col, topic_col), rate, seed, targets)
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+def _features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> DataFrame:
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
         F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"),
         F.col(f"`{text_col}`").alias("text"),
+        *([F.coalesce(F.col(f"`{topic_col}`"), F.lit("")).alias("topic")] if topic_col else []),
     )
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return cut(rows.select("id", "source", "lang", topic().alias("topic"), words.alias("n_tokens")))
+    return cut(rows.select("id", "source", "lang", F.col("topic") if topic_col else topic().alias("topic"), words.alias("n_tokens")))
 
 
-def _cells(features: DataFrame, rate: float) -> DataFrame:
+def _cells(features: DataFrame, rate: float, targets: dict[str, DataFrame] | None) -> DataFrame:
     cells = cut(features.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    return cut(calibrate(cut(rake(cells)), rate))
+    return cut(calibrate(cut(rake(cells, targets=targets)), rate))
 
 
-def _mixed(features: DataFrame, rate: float, seed: int) -> DataFrame:
-    cells = _cells(features, rate).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "weight", "prob")
+def _mixed(features: DataFrame, rate: float, seed: int, targets: dict[str, DataFrame] | None) -> DataFrame:
+    cells = _cells(features, rate, targets).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "weight", "prob")
     match = F.lit(True)
     for m in MARGINS:
         match = match & (F.col(m) == F.col(f"__{m}"))
@@ -134,14 +141,17 @@ def _mixed(features: DataFrame, rate: float, seed: int) -> DataFrame:
     return out.withColumn("kept", uniform("id", seed) < F.col("prob"))
 
 
-def sample(docs: DataFrame, rate: float = RATE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the mix keeps, with their columns as they were."""
-    cells = _cells(_features(docs, id_col, text_col, source_col, lang_col), rate)
+def sample(
+    docs: DataFrame, rate: float = RATE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+    topic_col: str | None = None, targets: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """The rows of docs that the mix keeps, with their columns as they were; the parameters are those of mix()."""
+    cells = _cells(_features(docs, id_col, text_col, source_col, lang_col, topic_col), rate, targets)
     cells = cells.select(*(F.col(m).alias(f"__p_{m}") for m in MARGINS), F.col("prob").alias("__p"))
     names = [f"__c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)))
-    col = {c: names[docs.columns.index(c)] for c in (id_col, text_col, source_col, lang_col)}
-    keys = (F.coalesce(col[source_col], F.lit("")), F.coalesce(col[lang_col], F.lit("")), topic(col[text_col]))
+    col = {c: names[docs.columns.index(c)] for c in (id_col, text_col, source_col, lang_col, *([topic_col] if topic_col else []))}
+    keys = (F.coalesce(col[source_col], F.lit("")), F.coalesce(col[lang_col], F.lit("")), F.coalesce(col[topic_col], F.lit("")) if topic_col else topic(col[text_col]))
     match = F.lit(True)
     for m, k in zip(MARGINS, keys):
         match = match & (k == F.col(f"__p_{m}"))
