@@ -27,6 +27,8 @@ FIT_ROWS = 20_000
 BLOCK_ROWS = 2_048
 #: Rows of one label that one more centroid stands for, and the number of centroids at most.
 CELL_ROWS, MOST_CELLS = 4_096, 256
+#: What an angle may be off, near zero, for the rounding of its cosine; pairs of centroids that are sent to every executor at most.
+SLACK, BROADCAST_GAPS = 1e-6, 500_000
 
 
 def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -156,21 +158,23 @@ def _links(classes: DataFrame, most: dict[int, int], threshold: float) -> tuple[
     cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
     same = placed.join(cells.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"])
     placed = cut(same.withColumn("block", F.pmod("h1", F.col("blocks"))).drop("blocks"))
-    limit = float(np.arccos(threshold)) + 1e-9
-    apart = [(d, i, j, float(_angle(c[i] @ c[j]))) for d, c in centers.items() for i in range(len(c)) for j in range(len(c))]
+    limit = float(np.arccos(threshold)) + SLACK
+    apart = [(d, i, j, g) for d, c in centers.items() for i, row in enumerate(_angle(c @ c.T).tolist()) for j, g in enumerate(row)]
     gaps = spark.createDataFrame(apart, "dim int, cell long, cell2 long, gap double")
+    gaps = F.broadcast(gaps) if len(apart) <= BROADCAST_GAPS else gaps
     blocks = placed.groupBy("label", "dim", "cell", "block").agg(F.max("angle").alias("radius"))
     blocks = cut(blocks)
     second = blocks.select("label", "dim", F.col("cell").alias("cell2"), F.col("block").alias("block2"), F.col("radius").alias("radius2"))
-    pairs = blocks.join(F.broadcast(gaps), ["dim", "cell"]).join(second, ["label", "dim", "cell2"])
+    pairs = blocks.join(gaps, ["dim", "cell"]).join(second, ["label", "dim", "cell2"])
     pairs = pairs.where(F.col("gap") <= F.col("radius") + F.col("radius2") + limit)
     pairs = pairs.where((F.col("cell") < F.col("cell2")) | ((F.col("cell") == F.col("cell2")) & (F.col("block") <= F.col("block2"))))
-    pairs = cut(pairs.select("label", "dim", "cell", "block", "cell2", "block2", "radius", "radius2"))
+    # a vector goes only where the other block can hold a partner: the angles to the two centroids differ by their gap at most
     task = ["label", "dim", "cell", "block", "cell2", "block2"]
-    left = placed.join(pairs.select(*task, F.lit(0).alias("side")), ["label", "dim", "cell", "block"])
-    right = pairs.where("cell <> cell2 or block <> block2").select(*task, F.lit(1).alias("side"))
+    pairs = cut(pairs.select(*task, (F.col("gap") - F.col("radius2") - limit).alias("reach"), (F.col("gap") - F.col("radius") - limit).alias("reach2")))
+    left = placed.join(pairs.select(*task, F.lit(0).alias("side"), "reach"), ["label", "dim", "cell", "block"]).where("angle >= reach")
+    right = pairs.where("cell <> cell2 or block <> block2").select(*task, F.lit(1).alias("side"), "reach2")
     moved = placed.withColumnRenamed("cell", "cell2").withColumnRenamed("block", "block2")
-    right = moved.join(right, ["label", "dim", "cell2", "block2"])
+    right = moved.join(right, ["label", "dim", "cell2", "block2"]).where("angle >= reach2")
     columns = [*task, "side", "rep", "weight", "v"]
     both = left.select(*columns).union(right.select(*columns))
 
