@@ -17,69 +17,117 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from larkspur.llm.store import cut, partitions
+from larkspur.llm.store import cut, partitions, small_batches
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: The attributes of a tag: quotes count after an equals sign only, and > ends the tag outside of such a value.
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|math|iframe|textarea|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-z])[^>]*(?:>|\Z)"
+    rf"|<(script|style|noscript|template|svg|math|iframe|textarea|title|object)(?![^\s/>]){_ATTRIBUTES}>.*?(?:</\1(?![^\s/>])[^>]*>|\Z)"
+    rf"|<(/?)([a-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _BLOCK = set(
-    "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
-    "html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul caption".split()
+    "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
+    "html legend li listing main menu nav ol option p pre search section summary table tbody tfoot thead tr ul caption".split()
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = set("aside button datalist dialog fieldset footer form head menu nav option select".split())
+_NEVER = set("aside button datalist dialog fieldset footer form head menu nav option search select".split())
+#: Blocks that end an open paragraph.
+_ENDS_P = _BLOCK - set("body br caption html legend li dd dt option summary tbody tfoot thead tr".split())
+#: What an opening element ends, and the elements beyond which it ends nothing.
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr"}, {"table"})}
+_ENDS |= dict.fromkeys(("dd", "dt"), ({"dd", "dt"}, {"dl"})) | dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "tr"}, {"table"}))
 _ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay"
-    r"|newsletter|subscri(?:be|ption)|side-?bars?|widgets?|menus?|nav(?:bar|igation)?|breadcrumbs?|footer|masthead|site-?header|page-?header|topbar"
-    r"|comments?|comment-?list|disqus|replies|respond|shar(?:e|ing)|social|related|recommend(?:ed|ations)?|teasers?|pagination|pager|toolbar|login|signup|search(?:form|box)?)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and ids of what is no main text. Those in _LAYOUT also name frames of a page, inside which the article itself may lie.
+_LAYOUT = set(
+    "banner banners modal overlay popup popups sidebar sidebars widget widgets menu menus nav navbar navigation masthead topbar toolbar notice notices alert alerts "
+    "social share sharing promo promos promotion promotions header".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_HEADING = re.compile("h[1-6]$")
+_OTHER = set(
+    "ad ads advert adverts advertisement advertisements adbox sponsor sponsors sponsored cookie cookies consent gdpr newsletter subscribe subscription breadcrumb breadcrumbs footer "
+    "comment comments disqus replies respond related recommend recommended recommendation recommendations teaser teasers pagination pager login signup".split()
+)
+#: Words that leave another word's meaning as it is; a name made of these and one of the above is such a name.
+_PLAIN = set(
+    "site page main global top bottom left right primary secondary first second inner outer box block blocks bar area section sections container wrapper wrap list lists item items content "
+    "contents column col row panel card cards unit slot zone region group inline sticky fixed mobile desktop small large widget post posts article articles story stories link links news more "
+    "read reading also form body text header footer title label message msg info buttons button icons icon media count thread reply author entry view js the and of us our your this for by".split()
+)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+
 
+@lru_cache(20_000)
+def _named(name: str) -> int:
+    """2 for a class name or id of what is never main text, 1 for one that a frame around the main text may have too, 0 for others.
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+    A name counts as a whole: each of its words has to be such a word or a plain one, so that has-sidebar, no-comments and related-work say nothing.
+    """
+    words = [w.lower() for w in _WORDS.findall(name.replace("side-bar", "sidebar").replace("pop-up", "popup").replace("sign-up", "signup").replace("log-in", "login"))]
+    words = [w for w in words if not w.isdigit()]
+    said = [w for w in words if w in _LAYOUT or w in _OTHER]
+    if not said or any(w not in _LAYOUT and w not in _OTHER and w not in _PLAIN for w in words) or said == ["header"] and not {"site", "page", "top", "global"} & set(words):
+        return 0
+    return 2 if any(w in _OTHER for w in said) else 1
+
+
+def _attributes(attributes: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        value = m[2] or ""
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        found.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return found
+
+
+def _boilerplate(name: str, attributes: str, in_article: bool) -> int:
+    """2 for an element that never holds main text, 1 for one that does so only where it holds the page's article, 0 for others."""
     if name in _NEVER or (name == "header" and not in_article):
-        return True
+        return 2
+    least = 0
     if attributes and not attributes.isspace():
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if key in ("class", "id") and name not in ("body", "html", "main") and _NAMES.search(value):
-                return True
-            if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True
-            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-    return False
+        has = _attributes(attributes)
+        if has.get("role", "").strip().lower() in _ROLES or "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true":
+            return 2
+        if "style" in has and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has["style"], re.I):
+            return 2
+        if name not in ("body", "html", "main"):
+            for value in (has.get("class"), has.get("id")):
+                for word in value.split() if value else ():
+                    least = max(least, _named(word))
+    return least
 
 
 def page_lines(page: str | None) -> list[tuple[str, int]]:
     """(text, kind) of each block: 0 template by structure, 1 main text, 2 main text inside an <article>.
 
-    Where a page has an <article>, it alone is main text; else the <main> or role=main, if there is one.
+    Where a page has an <article>, it alone is main text; else the <main> or role=main, if there is one. Where all of these
+    lie in elements whose class names a frame of the page (such as a sidebar layout), those elements count for nothing. Tags are read as browsers
+    read them: an attribute may be malformed, blocks end an open paragraph, an item ends the one before.
     """
     if not page:
         return []
     out, parts, last = [], [], 0
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, inside a main part (1) or an article (2)
-    skip, article = False, 0
-    marked = 0  # the nearest mark of the main text that the page has, as above
+    stack: list[tuple[str, int, int, tuple]] = []  # name; whether inside boilerplate, inside a main part (1) or an article (2), the frames that it is in
+    skip, inside, frames = 0, 0, ()
+    n_frames = 0
+    marks: list[tuple[int, tuple]] = []  # main parts and articles outside of boilerplate, with the frames that each is in
 
     def flush():
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, skip, article))
+                out.append((text, skip, inside, frames))
             parts.clear()
 
     for m in _TOKEN.finditer(page):
@@ -93,13 +141,17 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         if name not in _BLOCK and name not in _NEVER:
             if name in ("td", "th"):
                 parts.append(" ")
-            if name not in _VOID and not m[2] and _boilerplate(name, m[4], article > 0):
-                flush()
-                stack.append((name, skip, article))
-                skip = True
-            elif m[2] and skip and any(x[0] == name for x in stack[-1:]):
-                flush()
-                _, skip, article = stack.pop()
+            if m[2]:
+                if stack and stack[-1][0] == name:  # only what is boilerplate, or lies in an element of the same name that is
+                    flush()
+                    _, skip, inside, frames = stack.pop()
+            elif name not in _VOID:
+                if stack and stack[-1][0] == name:
+                    stack.append((name, skip, inside, frames))
+                elif _boilerplate(name, m[4], inside > 0):
+                    flush()
+                    stack.append((name, skip, inside, frames))
+                    skip = 2
             continue
         flush()
         if name in _VOID:
@@ -107,21 +159,37 @@ def page_lines(page: str | None) -> list[tuple[str, int]]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    _, skip, article = stack[i]
+                    _, skip, inside, frames = stack[i]
                     del stack[i:]
                     break
             continue
-        if name in ("p", "li", "option") and stack and stack[-1][0] == name:
-            _, skip, article = stack.pop()
-        stack.append((name, skip, article))
-        skip = skip or _boilerplate(name, m[4], article > 0)
-        if not skip and (name == "article" or name == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", m[4], re.I)):
-            article = max(article, 2 if name == "article" else 1)
-            marked = max(marked, article)
+        ends = [({"p"}, _BLOCK - {"p"})] if name in _ENDS_P else []
+        for closed, bound in [*ends, *([_ENDS[name]] if name in _ENDS else ())]:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in closed:
+                    _, skip, inside, frames = stack[i]
+                    del stack[i:]
+                    if name not in ("tbody", "thead", "tfoot"):
+                        break
+                elif stack[i][0] in bound:
+                    break
+        stack.append((name, skip, inside, frames))
+        found = _boilerplate(name, m[4], inside > 0)
+        if found == 1 and name != "article":
+            n_frames += 1
+            frames = (*frames, n_frames)
+        elif found:
+            skip = 2
+        if not skip and (name in ("article", "main") or "role" in m[4].lower() and _attributes(m[4]).get("role", "").strip().lower() == "main"):
+            inside = max(inside, 2 if name == "article" else 1)
+            marks.append((inside, frames))
     if last < len(page):
         parts.append(page[last:])
     flush()
-    return [(text, 0 if skip_ or inside < marked else 2 if inside == 2 else 1) for text, skip_, inside in out]
+    free = [k for k, f in marks if not f]
+    cleared = set() if free else {x for _, f in marks for x in f}
+    marked = max(free or (k for k, _ in marks), default=0)
+    return [(text, 0 if s or inside < marked or not cleared.issuperset(f) else 2 if inside == 2 else 1) for text, s, inside, f in out]
 
 
 def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -163,19 +231,19 @@ def _place(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return rows.withColumn("host", F.lower(F.substring_index(rest, "/", 1))).withColumn("path", F.regexp_replace(rest, "^[^/]*", ""))
 
 
-_LIGHT = "host string, path string, rk long, lines array<long>, kinds binary"
-
-
-def _light(batches):
+def _parsed(batches):
+    """Reads each page once: hashes and kinds of all its lines, and the main lines with their positions."""
     for batch in batches:
-        lines, kinds = [], []
-        for page in batch.column(3):
+        lines, kinds, at, texts = [], [], [], []
+        for page in batch.column(batch.num_columns - 1):
             found = page_lines(page.as_py())
+            main = [i for i, (_, kind) in enumerate(found) if kind]
             lines.append([xxhash.xxh3_64_intdigest(t) - 2**63 for t, _ in found])
             kinds.append(bytes(k for _, k in found))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(lines, pa.list_(pa.int64())), pa.array(kinds, pa.binary())], names=["host", "path", "rk", "lines", "kinds"]
-        )
+            at.append(main)
+            texts.append([found[i][0] for i in main])
+        more = (pa.array(lines, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(at, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "lines", "kinds", "at", "texts"])
 
 
 _VERDICT = "rk long, gone array<int>, part int, host string, lines array<long>, kinds binary"
@@ -221,10 +289,10 @@ def _borders(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["rk", "gone"])
 
 
-def verdicts(placed: DataFrame) -> DataFrame:
+def verdicts(parsed: DataFrame) -> DataFrame:
     """(rk, gone): positions of the main lines to delete, for each page that has any."""
-    light = placed.where("host <> ''").select("host", "path", "rk", "html").mapInArrow(_light, _LIGHT)
-    n = partitions(placed.sparkSession)
+    light = parsed.where("host <> ''").select("host", "path", "rk", "lines", "kinds")
+    n = partitions(parsed.sparkSession)
     dealt = light.repartitionByRange(n, "host", "path", "rk").sortWithinPartitions("host", "path", "rk")
     found = cut(dealt.mapInArrow(_neighbours, _VERDICT))
     edge = found.where("gone is null")
@@ -236,27 +304,23 @@ def verdicts(placed: DataFrame) -> DataFrame:
     return every.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
 
-def _texts(batches):
-    for batch in batches:
-        texts = []
-        for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            gone = set(gone or ())
-            texts.append("\n".join(t for i, (t, kind) in enumerate(page_lines(page)) if kind and i not in gone))
-        text = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text, pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
     A null or empty page has the empty text. A page without a URL is read by its structure alone. Rows equal in id, URL and
-    html are one page and have one text.
+    html are one page and have one text. Pages are read whole, however long; of equal paths the order is that of a hash. Other columns are not
+    read, whatever their names.
     """
-    placed = _place(pages, id_col, url_col, html_col)
-    found = cut(verdicts(placed)).withColumnRenamed("rk", "rk_")
-    joined = placed.join(found, F.col("rk") == F.col("rk_"), "left").select("page_id", "url", "html", "gone")
-    schema = joined.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return joined.mapInArrow(_texts, schema)
+    small_batches(pages.sparkSession)
+    placed = _place(pages, id_col, url_col, html_col).select("page_id", "url", "host", "path", "rk", "html")
+    schema = placed.drop("html").schema
+    for name, kind in (("lines", T.ArrayType(T.LongType())), ("kinds", T.BinaryType()), ("at", T.ArrayType(T.IntegerType())), ("texts", T.ArrayType(T.StringType()))):
+        schema = schema.add(name, kind)
+    parsed = cut(placed.mapInArrow(_parsed, schema))
+    found = cut(verdicts(parsed)).withColumnRenamed("rk", "rk_")
+    joined = parsed.join(found, F.col("rk") == F.col("rk_"), "left")
+    left = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda t, i: ~F.array_contains("gone", F.get("at", i))))
+    return joined.select("page_id", "url", F.array_join(left, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark, sf_dir):

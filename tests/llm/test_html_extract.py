@@ -78,3 +78,85 @@ def test_main_parts_are_differenced_and_an_article_alone_decides(spark):
 
 def test_empty(spark):
     assert he.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def kept(page):
+    return [t for t, kind in he.page_lines(page) if kind]
+
+
+def test_class_names_count_as_wholes_and_frames_do_not_hide_the_article():
+    for opened in ('<div class="layout has-sidebar">', '<div class="content no-sidebar">', '<div class="sidebar-layout">', '<div class="page-wrapper sidebar-right">', "<div data-class='ad' title='class=\"ad\"'>"):
+        assert kept(f"<body><nav>Menu</nav>{opened}<article><p>Main text</p></article><p>Below</p></div></body>") == ["Main text"], opened
+    assert kept('<article><p>a</p><section id="related-work"><p>Related work</p></section><div class="related-posts"><p>More</p></div></article>') == ["a", "Related work"]
+    assert kept('<div class="sidebar"><p>Side</p></div><p>Own text</p><div class="CommentList"><article><p>First!</p></article></div>') == ["Own text"]
+    assert kept('<article><p>a</p></article><div class="widget"><article><p>Teaser</p></article></div>') == ["a"]
+    assert kept('<p>Text</p><div id="cookie-banner">We use cookies</div><ul class="breadcrumbs"><li>Home</li></ul><div class="post-comments">Me too</div>') == ["Text"]
+
+
+def test_blocks_end_paragraphs_and_items_end_items():
+    assert kept('<p class="ad">Buy<div>Main text</div>') == ["Main text"]
+    assert kept('<ul><li class="ad">Buy<li>Kept</ul><p>x') == ["Kept", "x"]
+    assert kept('<table><tr class="ad"><td>Buy<tr><td>a<td>b</table>') == ["a b"]
+    assert kept('<p class="ad">Buy <b>now</b></p><p>Text') == ["Text"]
+
+
+def test_nested_inline_adverts_do_not_leak():
+    assert kept('<p>a <span class="ad">x <span>y</span> LEAK</span> b</p>') == ["a", "b"]
+    assert kept('<p>a <span class="ad">x <br><span>y <span>z</span></span> LEAK</span> b <span>c</span></p>') == ["a", "b c"]
+
+
+def test_malformed_tags_end():
+    assert kept("<p><a title='it's'>link</a> text</p>") == ["link text"]
+    assert kept('<p><a title="a > b" href=x>link</a> <img alt="1 > 0">text</p><p>1 < 2 and 3 > 2</p>') == ["link text", "1 < 2 and 3 > 2"]
+    assert kept('<p>open <a href="never ended>link</a> more</p>') == ["open link more"]
+    assert kept("<!--> <p>a</p><!-- x --!><p>b</p></ p><script src='a>b'>if (a < b) '</p>'</script foo><p>c</p>") == ["a", "b", "c"]
+
+
+def brute(rows):
+    """The whole operator, page by page: structure, then the neighbours of a host in the order of paths."""
+    import re
+
+    hosts = {}
+    for k, (_, url, page) in enumerate(rows):
+        rest = re.sub("[?#].*$", "", re.sub("^[A-Za-z][A-Za-z0-9+.-]*://", "", url or ""))
+        if host := rest.split("/")[0].lower():
+            hosts.setdefault(host, []).append((rest[len(host) :], k))
+    lines = [he.page_lines(page) for *_, page in rows]
+    out = [[t for t, kind in x if kind] for x in lines]
+    for pages in hosts.values():
+        assert len({p for p, _ in pages}) == len(pages)
+        order = [k for _, k in sorted(pages)]
+        gone = {k: set() for k in order}
+        for a, b in itertools.pairwise(order):
+            for me, you in ((a, b), (b, a)):
+                pairs = he.common([t for t, _ in lines[me]], [t for t, _ in lines[you]])
+                mine = [i for i, j in pairs if lines[me][i][1] and not lines[me][i][1] == lines[you][j][1] == 2]
+                if len(mine) < sum(kind > 0 for _, kind in lines[me]):
+                    gone[me] |= set(mine)
+        for k in order:
+            out[k] = [t for i, (t, kind) in enumerate(lines[k]) if kind and i not in gone[k]]
+    return ["\n".join(x) for x in out]
+
+
+def test_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for host in ("a.example", "B.example", "c.example"):
+        template = [f"<div>{host} line {i}</div>" for i in range(6)]
+        for i in range(35):
+            body = [*rng.sample(template, rng.randint(1, 6)), *(f"<p>own {host} {i} {rng.randrange(50)}</p>" for _ in range(rng.randint(0, 4)))]
+            rng.shuffle(body)
+            if rng.random() < 0.3:
+                body = ["<article>", *body, "</article>", *rng.sample(template, 2)]
+            rows.append((len(rows), f"https://{host}/{rng.choice('pqr')}/{i}", "<html><body>" + "".join(body) + "</body></html>"))
+    rows += [(900, None, "<p>x"), (901, "", "<p>y"), (902, "c.example", None), (903, "d.example/long", "<p>" + "word " * 200_000), (904, "d.example/longer", "<div>z</div>" * 20_000)]
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "page_id long, url string, html string, host string, rk int")
+    monkeypatch.setattr(he, "partitions", lambda spark: 6)
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in he.extract(df.repartition(4)).collect()}
+    assert got == {k: (t, len(t)) for (k, *_), t in zip(rows, brute(rows))}
+
+
+def test_repeated_rows(spark):
+    rows = [(1, "http://a/x", "<p>one</p><p>two</p>")] * 3 + [(2, "http://a/y", "<p>one</p><p>three</p>")]
+    got = sorted((r["page_id"], r["text"]) for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert [g[0] for g in got] == [1, 1, 1, 2] and len({g[1] for g in got[:3]}) == 1
