@@ -34,6 +34,8 @@ def _args(name: str, xs: list[E], star) -> None:
 
 def aggregate(name: str, xs: list[E], opts, filt: str | None, order: list[tuple[E, bool]]) -> E:
     """An aggregate over a group."""
+    if name.startswith("jsonb_"):
+        return _binary(aggregate(name.replace("jsonb_", "json_"), xs, opts, filt, order))
     _args(name, xs, opts.star)
     tail = f" FILTER (WHERE {filt})" if filt else ""
     distinct = "DISTINCT " if opts.distinct else ""
@@ -77,10 +79,16 @@ def aggregate(name: str, xs: list[E], opts, filt: str | None, order: list[tuple[
     return E(f"concat('{{', array_join(collect_list({pair}){tail}, ','), '}}')", "text", json=True)
 
 
+def _binary(e: E) -> E:
+    return E(f"lk_jsonb({e.sql})", "blob")
+
+
 def windowed(name: str, xs: list[E], opts, spec: str, filt: str | None) -> E:
     """An aggregate over a frame; FILTER and DISTINCT, which Spark lacks there, by rewriting."""
     if name not in NAMES:
         raise SqlError(f"{name}() may not be used as a window function", "misuse")
+    if name.startswith("jsonb_"):
+        return _binary(windowed(name.replace("jsonb_", "json_"), xs, opts, spec, filt))
     _args(name, xs, opts.star)
     x = xs[0] if xs else None
 
@@ -136,6 +144,38 @@ def from_list(name: str, values: str, x: E | None, xs: list[E]) -> E:
     return E(f"concat('{a}', array_join({values}, ','), '{b}')", "text", json=True)
 
 
+#: Aggregates that the pieces of a frame give by themselves.
+IN_PIECES = {"count", "sum", "avg", "total", "min", "max"}
+
+
+def in_pieces(name: str, xs: list[E], pieces: list[str], filt: str | None) -> E:
+    """An aggregate over a frame that is cut into pieces, each a window of its own, so that no frame is collected."""
+    x = xs[0] if xs else None
+
+    def over(f: str, sql: str) -> list[str]:
+        item = f"CASE WHEN {filt} THEN {sql} END" if filt else sql
+        return [f"{f}({item}) OVER {p}" for p in pieces]
+
+    def total(parts: list[str], zero: str) -> str:
+        return " + ".join(f"coalesce({p}, {zero})" for p in parts) or zero
+
+    if name in ("min", "max"):
+        parts = over(name, v.value(x))
+        best = {"min": "least", "max": "greatest"}[name]
+        sql = f"{best}({', '.join(parts)})" if len(parts) > 1 else parts[0] if parts else f"CAST(NULL AS {v.spark_type(x.t)})"
+        return E(sql, {"bool": "int", "ts": "text"}.get(x.t, x.t), x.aff, x.coll)
+    count = total(over("count", "1" if x is None else v.value(x)), "0L")
+    if name == "count":
+        return E(f"({count})", "int")
+    n = v.number(x)
+    if name == "sum" and n.t == "int":
+        return E(f"(CASE WHEN ({count}) > 0 THEN {total(over('sum', n.sql), '0L')} END)", "int")
+    added = total(over("sum", v.real(x)), "0D")
+    if name == "total":
+        return E(f"({added})", "real")
+    return E(f"(CASE WHEN ({count}) > 0 THEN ({added}){f' / ({count})' if name == 'avg' else ''} END)", "real")
+
+
 def excluded(name: str, xs: list[E], opts, spec: str, rank: str, key: str, how: str, filt: str | None) -> E:
     """An aggregate over a frame without the current row, its peers, or its peers but itself: the frame's rows are collected with their
     peer number and row number, and those that are excluded filtered out."""

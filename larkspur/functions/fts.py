@@ -1,7 +1,7 @@
 """Full-text search: tokenizers, the MATCH grammar, and its evaluation over token arrays.
 
-A query is parsed once. Terms, prefixes, phrases, NEAR groups and their boolean combinations become predicates over each column's
-terms, joined to one text, which Spark evaluates in its own expressions; the porter tokenizer and the functions
+A query is parsed once. Terms, prefixes, phrases, NEAR groups and their boolean combinations become patterns that Spark looks for in the texts
+themselves, without cutting them into terms; the porter tokenizer, queries that differ from row to row and the functions
 that need character positions (highlight, snippet, offsets, matchinfo) run Arrow-batched.
 """
 
@@ -11,6 +11,7 @@ import itertools
 import math
 import re
 import struct
+from functools import lru_cache
 
 from larkspur.errors import SqlError
 from larkspur.functions import values as v
@@ -265,7 +266,7 @@ def token_array(text: str, how: str) -> str:
     if parts[0] == "trigram":
         return f"(CASE WHEN length({t}) < 3 THEN CAST(array() AS ARRAY<STRING>) ELSE transform(sequence(1, greatest(length({t}) - 2, 1)), i -> substring({_trigram_text(text, parts)}, i, 3)) END)"
     if parts[0] == "unicode61":
-        return f"regexp_extract_all(regexp_replace(translate(lower({t}), '{_MARKED}', '{_BASE}'), '(?<=[\\\\p{{L}}\\\\p{{N}}])\\\\p{{M}}+', ''), '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]+', 0)"
+        return f"regexp_extract_all({_normal(t)}, '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]+', 0)"
     return f"lk_fts_terms({t}, {v.quote(how)})"
 
 
@@ -278,44 +279,70 @@ def _trigram(how: str) -> bool:
     return how.split()[:1] == ["trigram"]
 
 
+def _normal(t: str) -> str:
+    """Spark SQL for a text as unicode61 reads it: lower case, without marks."""
+    return f"regexp_replace(translate(lower({t}), '{_MARKED}', '{_BASE}'), '(?<=[\\\\p{{L}}\\\\p{{N}}])\\\\p{{M}}+', '')"
+
+
 def searched(text: str, how: str) -> str:
-    """A column as one text to search: each term between blanks of its own, so ' a  b ' is two terms in a row."""
+    """The text that patterns of a query are looked for in: the column itself where the tokenizer lets it, else its terms between blanks."""
     if _trigram(how):
         return _trigram_text(text, how.split())
-    return f"concat(' ', array_join({token_array(text, how)}, '  '), ' ')"
+    base = (how.split() or ["unicode61"])[0]
+    if base == "ascii":
+        return f"coalesce({text}, '')"
+    return _normal(f"coalesce({text}, '')") if base == "unicode61" else f"concat(' ', array_join({token_array(text, how)}, ' '), ' ')"
+
+
+def _letters(how: str) -> tuple[str, str]:
+    """Flags of the patterns, and what a term is made of, as the inside of a character class."""
+    base = (how.split() or ["unicode61"])[0]
+    return {"ascii": ("(?i)", "A-Za-z0-9"), "unicode61": ("", r"\p{L}\p{M}\p{N}")}.get(base, ("", "^ "))
+
+
+def _others(letters: str) -> str:
+    return letters[1:] if letters.startswith("^") else "^" + letters
 
 
 def token_count(column: str, how: str) -> str:
     if _trigram(how):
         return f"greatest(length({column}) - 2, 0)"
-    return f"((length({column}) - length(replace({column}, ' ', ''))) div 2)"
+    return f"regexp_count({column}, {v.quote(f'[{_letters(how)[1]}]+')})"
 
 
-def _string(phrase, how: str) -> str:
-    """What a phrase looks like in the searched text; a prefix has no end."""
-    terms, prefix = phrase[1], phrase[2]
-    if _trigram(how):
-        return terms[0] + "".join(t[-1] for t in terms[1:])
-    return "".join(f" {t} " for t in terms)[: -1 if prefix else None]
+def _pattern(phrase, how: str, apart: bool = False) -> str:
+    """A regular expression for a phrase; apart: only its first term is part of the match, so that matches may overlap."""
+    terms, prefix = [re.escape(t) for t in phrase[1]], phrase[2]
+    letters = _letters(how)[1]
+    end = "" if prefix else f"(?![{letters}])"
+    gap = f"[{_others(letters)}]+"
+    rest = gap.join(terms[1:])
+    if apart and rest:
+        return f"(?<![{letters}]){terms[0]}(?={gap}{rest}{end})"
+    return f"(?<![{letters}]){gap.join(terms)}{end}"
 
 
 def _found(column: str, phrase, how: str) -> str:
     if not phrase[1]:
         return "FALSE"
-    f = "startswith" if phrase[4] else "contains"
-    return f"{f}({column}, {v.quote(_string(phrase, how))})"
+    if _trigram(how):
+        terms = phrase[1]
+        return f"{'startswith' if phrase[4] else 'contains'}({column}, {v.quote(terms[0] + ''.join(t[-1] for t in terms[1:]))})"
+    flags, letters = _letters(how)
+    head = f"^[{_others(letters)}]*" if phrase[4] else ""
+    return f"({column} RLIKE {v.quote(flags + head + _pattern(phrase, how))})"
 
 
 def count_places(column: str, phrase, how: str) -> str:
     """How often a phrase occurs in a column."""
     if not phrase[1]:
         return "0"
-    s = _string(phrase, how)
-    if phrase[2]:
-        return f"regexp_count({column}, {v.quote(re.escape(s))})"
     if phrase[4]:
         return f"CAST({_found(column, phrase, how)} AS INT)"
-    return f"((length({column}) - length(replace({column}, {v.quote(s)}, ''))) div {len(s)})"
+    if _trigram(how):
+        whole = phrase[1][0] + "".join(t[-1] for t in phrase[1][1:])
+        return f"regexp_count({column}, {v.quote(f'(?={re.escape(whole)})')})"
+    return f"regexp_count({column}, {v.quote(_letters(how)[0] + _pattern(phrase, how, True))})"
 
 
 def predicate(q: Query, columns: list[str]) -> str:
@@ -332,37 +359,73 @@ def predicate(q: Query, columns: list[str]) -> str:
     return walk(q.root) if q.root else "FALSE"
 
 
+#: Phrases of a NEAR up to which all orders of them become one pattern each; beyond, texts are searched token by token.
+NEAR_PATTERNS = 5
+
+
 def _near(column: str, phrases: list, n: int, how: str) -> str:
     """Whether the phrases occur in some order with at most n tokens between neighbours."""
-    if len(phrases) > 5:
-        raise SqlError("NEAR takes five phrases at most here", "limit")
-    gap = f"(?:.){{0,{n}}}?" if _trigram(how) else f"(?: [^ ]+ ){{0,{n}}}?"
-    forms = [re.escape(_string(p, how)) + ("[^ ]* " if p[2] and not _trigram(how) else "") for p in phrases]
-    tests = [f"{column} RLIKE {v.quote(gap.join(order))}" for order in itertools.permutations(forms)]
+    if any(not p[1] for p in phrases):
+        return "FALSE"
+    if _trigram(how):
+        forms = [re.escape(p[1][0] + "".join(t[-1] for t in p[1][1:])) for p in phrases]
+        gap, flags = f"(?:.){{0,{n}}}?", "(?s)"
+    else:
+        flags, letters = _letters(how)
+        forms = [_pattern(p, how) + (f"[{letters}]*" if p[2] else "") for p in phrases]
+        gap = f"(?:[{_others(letters)}]+[{letters}]+){{0,{n}}}?[{_others(letters)}]+"
+    tests = [f"{column} RLIKE {v.quote(flags + gap.join(order))}" for order in itertools.permutations(forms)]
     return f"({' OR '.join(dict.fromkeys(tests))})"
 
 
 def match(low, a, b, scope) -> E:
-    """table MATCH query or column MATCH query."""
+    """table MATCH query or column MATCH query. The query may be any expression; one that depends on the row is parsed for each of its values."""
     s, name = scope, a[2].lower() if a[0] == "col" else ""
     pattern = low.expr(b, scope)
-    if not isinstance(pattern.const, str):
-        raise SqlError("MATCH takes a constant query here", "misuse")
+    query = pattern.const
+    if query is v.MISSING:
+        try:
+            query = low.constant(b, "MATCH")
+        except SqlError:
+            query = None
     while s is not None:
         for table, (conf, alias, view) in s.fts.items():
-            cols = conf["columns"]
+            cols, how = conf["columns"], conf["tokenize"]
             if name == table or name in [c.lower() for c in cols] and (a[1] is None or a[1].lower() == table):
-                q = Query(pattern.const, conf["tokenize"], cols)
-                arrays = [searched(f"{alias}.{v.ident(c)}", conf["tokenize"]) for c in cols]
-                if name != table:
-                    only = [c.lower() for c in cols].index(name)
-                    arrays = [arr if i == only else None for i, arr in enumerate(arrays)]
-                s.fts[table] = (conf | {"query": q}, alias, view)
+                only = None if name == table else [c.lower() for c in cols].index(name)
+                if query is None and pattern.const is not v.MISSING:
+                    return E("CAST(NULL AS BOOLEAN)", "bool")
+                q = None if query is None else Query(str(query), how, cols)
+                if q is not None:
+                    s.fts[table] = (conf | {"query": q}, alias, view)
+                if q is None or any(n[0] == "near" and len(n[1]) > NEAR_PATTERNS for n in _parts(q.root)):
+                    texts = ", ".join(f"coalesce({alias}.{v.ident(c)}, '')" for c in cols)
+                    asked = v.text(pattern) if q is None else v.quote(str(query))
+                    return E(f"lk_fts_match(array({texts}), {asked}, {v.quote(how)}, array({', '.join(map(v.quote, cols))}), {-1 if only is None else only})", "bool")
+                arrays = [searched(f"{alias}.{v.ident(c)}", how) if only in (None, i) else None for i, c in enumerate(cols)]
                 return E(predicate(q, arrays), "bool")
         s = s.outer
     raise SqlError("unable to use function MATCH in the requested context", "misuse")
 
 
+def _parts(n):
+    if n is not None:
+        yield n
+        if n[0] in ("and", "or", "not"):
+            yield from _parts(n[1])
+            yield from _parts(n[2])
+
+
+def rank(low, table: str, scope) -> E:
+    """The hidden column rank: bm25 where the statement has a MATCH, else NULL."""
+    s = scope
+    while table not in s.fts:
+        s = s.outer
+    if s.fts[table][0].get("query") is None:
+        return E("CAST(NULL AS DOUBLE)", "real")
+    return auxiliary(low, "bm25", [("col", None, table)], scope)
+
+
 def bm25_sql(columns: list[str], how: str, phrases: list, stats: list[float], n: float, average: float, weights: list[float]) -> str:
     """The score of a row from the corpus statistics: document count, mean length and each phrase's document frequency."""
     length = " + ".join(token_count(c, how) for c in columns)
@@ -453,6 +516,53 @@ def _mark(text, toks, hits, lo, hi, a, b):
     return "".join(out) + text[at:end]
 
 
+@lru_cache(1000)
+def _query(text, how, columns):
+    return Query(text, how, list(columns))
+
+
+def lk_fts_match(texts, text, how, columns, only):
+    """Whether the row's texts meet a query, token by token."""
+    if text is None:
+        return None
+    q = _query(text, how, tuple(columns))
+    terms = [_terms(t, how) if only in (-1, i) else [] for i, t in enumerate(texts)]
+
+    def places(p, c):
+        _, want, prefix, cols, start = p
+        if not want or (cols is not None and c not in cols):
+            return []
+        out = []
+        for i in range(len(terms[c]) - len(want) + 1):
+            part = terms[c][i : i + len(want)]
+            if part[:-1] == want[:-1] and (part[-1].startswith(want[-1]) if prefix else part[-1] == want[-1]) and not (start and i):
+                out.append((i, i + len(want) - 1))
+        return out
+
+    def chained(found, left, end, n):
+        if not left:
+            return True
+        return any(0 <= i - end - 1 <= n and chained(found, left - {k}, j, n) for k in left for i, j in found[k])
+
+    def near(n, c):
+        found = [places(p, c) for p in n[1]]
+        every = frozenset(range(len(found)))
+        return all(found) and any(chained(found, every - {k}, j, n[2]) for k in every for _, j in found[k])
+
+    def walk(n):
+        if n[0] == "and":
+            return walk(n[1]) and walk(n[2])
+        if n[0] == "or":
+            return walk(n[1]) or walk(n[2])
+        if n[0] == "not":
+            return walk(n[1]) and not walk(n[2])
+        if n[0] == "phrase":
+            return any(places(n, c) for c in range(len(terms)))
+        return any(near(n, c) for c in range(len(terms)) if n[3] is None or c in n[3])
+
+    return bool(q.root) and walk(q.root)
+
+
 def lk_fts_terms(text, how):
     return _terms(text, how)
 
@@ -502,6 +612,6 @@ def lk_fts_matchinfo(texts, packed, how, fmt):
 
 
 FUNCTIONS = {
-    "lk_fts_terms": (lk_fts_terms, "array<string>"), "lk_fts_highlight": (lk_fts_highlight, "string"), "lk_fts_snippet": (lk_fts_snippet, "string"),
+    "lk_fts_terms": (lk_fts_terms, "array<string>"), "lk_fts_match": (lk_fts_match, "boolean"), "lk_fts_highlight": (lk_fts_highlight, "string"), "lk_fts_snippet": (lk_fts_snippet, "string"),
     "lk_fts_offsets": (lk_fts_offsets, "string"), "lk_fts_matchinfo": (lk_fts_matchinfo, "binary"),
 }

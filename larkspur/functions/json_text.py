@@ -168,6 +168,21 @@ def parse(s: str, strict: bool = False):
     return out
 
 
+def _no_constant(word: str):
+    raise ValueError(word)
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=Obj, parse_int=Num, parse_float=Num, parse_constant=_no_constant)
+
+
+def quick(s: str):
+    """parse(s): by the decoder of the standard library where s is JSON proper, else by the reader above."""
+    try:
+        return _DECODER.decode(s)
+    except (ValueError, RecursionError):
+        return parse(s)
+
+
 def text(x) -> str:
     """Minified text."""
     if x is None or x is True or x is False:

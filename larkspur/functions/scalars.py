@@ -318,6 +318,12 @@ def _json_valid(xs, db):
 
 _UUID = "lower(regexp_replace({}, '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '$1-$2-$3-$4-$5'))"
 
+def _uuid(seed: int) -> E:
+    """A version 4 UUID drawn from the seed."""
+    drawn = f"sha2(CAST(rand({seed}) AS STRING), 256)"
+    return E(f"regexp_replace({drawn}, '^(.{{8}})(.{{4}}).(.{{3}}).(.{{3}})(.{{12}}).*$', '$1-$2-4$3-a$4-$5')", "text")
+
+
 #: name: (least, most arguments, lowering); most -1 is no limit
 FUNCTIONS = {
     "abs": (1, 1, _abs), "coalesce": (2, -1, _coalesce), "ifnull": (2, 2, _coalesce),
@@ -339,7 +345,7 @@ FUNCTIONS = {
     "random": (0, 0, lambda xs, db: E(f"CAST(floor(rand({db.next_seed()}) * 18446744073709551615D - 9223372036854775808D) AS BIGINT)", "int")),
     "randomblob": (1, 1, lambda xs, db: E(f"unhex(substr(sha2(CAST(rand({db.next_seed()}) AS STRING), 512), 1, CAST(2 * greatest({v.integer(xs[0])}, 1L) AS INT)))", "blob")),
     "zeroblob": (1, 1, lambda xs, db: E(f"unhex(repeat('00', CAST({v.integer(xs[0])} AS INT)))", "blob")),
-    "uuid": (0, 0, lambda xs, db: E("uuid()", "text")), "uuid_str": (1, 1, lambda xs, db: E(_UUID.format(f"hex({xs[0].sql})" if xs[0].t == "blob" else f"replace({v.text(xs[0])}, '-', '')"), "text")),
+    "uuid": (0, 0, lambda xs, db: _uuid(db.next_seed())), "uuid_str": (1, 1, lambda xs, db: E(_UUID.format(f"hex({xs[0].sql})" if xs[0].t == "blob" else f"replace({v.text(xs[0])}, '-', '')"), "text")),
     "uuid_blob": (1, 1, lambda xs, db: E(f"unhex(replace({v.text(xs[0])}, '-', ''))", "blob")),
     "likelihood": (2, 2, lambda xs, db: xs[0]), "likely": (1, 1, lambda xs, db: xs[0]), "unlikely": (1, 1, lambda xs, db: xs[0]), "unknown": (0, -1, lambda xs, db: v.literal(None)),
     "changes": (0, 0, _counter("changes")), "total_changes": (0, 0, _counter("total_changes")), "last_insert_rowid": (0, 0, _counter("last_insert_rowid")),
@@ -365,6 +371,7 @@ FUNCTIONS = {
     "ieee754": (1, 2, lambda xs, db: E(f"concat('ieee754(', lk_ieee_mantissa({v.real(xs[0])}), ',', lk_ieee_exponent({v.real(xs[0])}), ')')", "text") if len(xs) == 1 else E(f"lk_ieee_make({v.integer(xs[0])}, {v.integer(xs[1])})", "real")),
     "ieee754_mantissa": (1, 1, lambda xs, db: E(f"lk_ieee_mantissa({v.real(xs[0])})", "int")), "ieee754_exponent": (1, 1, lambda xs, db: E(f"lk_ieee_exponent({v.real(xs[0])})", "int")),
     "ieee754_to_blob": (1, 1, lambda xs, db: E(f"lk_ieee_blob({v.real(xs[0])})", "blob")), "ieee754_from_blob": (1, 1, lambda xs, db: E(f"lk_ieee_from_blob({xs[0].sql})", "real")),
+    "ieee754_inc": (2, 2, lambda xs, db: E(f"(CASE WHEN {xs[1].sql} IS NOT NULL THEN lk_ieee_inc({v.real(xs[0])}, coalesce({v.integer(xs[1])}, 0L)) END)", "real")),
     # JSON
     "json": (1, 1, lambda xs, db: E(f"lk_json({_doc(xs[0])})", "text", json=True)), "jsonb": (1, 1, lambda xs, db: E(f"lk_jsonb({_doc(xs[0])})", "blob")),
     "json_array": (0, -1, _array), "jsonb_array": (0, -1, _blob(_array)), "json_object": (0, -1, _object), "jsonb_object": (0, -1, _blob(_object)),
@@ -410,7 +417,7 @@ def _series(args: list[E]):
 def _json_rows(name):
     def f(args):
         path = v.text(args[1]) if len(args) > 1 else "'$'"
-        return f"{name}({v.text(args[0])}, {path})", list(udfs.EACH)
+        return f"inline({name}({v.text(args[0])}, {path}))", list(udfs.EACH)
 
     return f
 

@@ -6,6 +6,7 @@ import re
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from larkspur.functions import json_text as j
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def _text(kind="string"):
 
 
 def _doc(s):
-    return j.from_jsonb(bytes(s)) if isinstance(s, (bytes, bytearray)) else j.parse(s)
+    return j.from_jsonb(bytes(s)) if isinstance(s, (bytes, bytearray)) else j.quick(s)
 
 
 @_text()
@@ -247,6 +248,13 @@ def lk_ieee_from_blob(b):
     return struct.unpack(">d", bytes(b))[0] if len(b) == 8 else None
 
 
+@_text("double")
+def lk_ieee_inc(x, n):
+    bits = (struct.unpack(">Q", struct.pack(">d", x))[0] + int(n)) & (1 << 64) - 1
+    out = struct.unpack(">d", struct.pack(">Q", bits))[0]
+    return None if out != out else out
+
+
 def _batched(f, kind):
     def run(*columns: pd.Series) -> pd.Series:
         out = []
@@ -260,22 +268,27 @@ def _batched(f, kind):
     return F.pandas_udf(run, kind)
 
 
-class _Each:
-    """A table function over JSON."""
+_ROWS = "array<struct<key:string,value:string,type:string,atom:string,id:bigint,parent:bigint,fullkey:string,path:string>>"
 
-    tree = False
 
-    def eval(self, doc, path):
-        if doc is None or path is None:
-            return
-        d = _doc(doc)
-        x = j.get(d, j.steps(path))
-        if not j.missing(x):
-            yield from j.rows(x, path, self.tree)
+def _rows(tree: bool):
+    """json_each or json_tree of a batch of documents, as arrays that inline() turns into rows."""
 
+    def run(docs: pa.Array, paths: pa.Array) -> pa.Array:
+        names, kinds = [n for n, _ in EACH], [pa.int64() if t == "int" else pa.string() for _, t in EACH]
+        columns, offsets = [[] for _ in names], [0]
+        for doc, path in zip(docs.to_pylist(), paths.to_pylist()):
+            if doc is not None and path is not None:
+                d = _doc(doc)
+                x = d if path == "$" else j.get(d, j.steps(path))
+                for row in () if j.missing(x) else j.rows(x, path, tree):
+                    for column, value in zip(columns, row):
+                        column.append(value)
+            offsets.append(len(columns[0]))
+        table = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table)
 
-class _Tree(_Each):
-    tree = True
+    return F.arrow_udf(run, _ROWS)
 
 
 EACH = (("key", "any"), ("value", "any"), ("type", "text"), ("atom", "any"), ("id", "int"), ("parent", "int"), ("fullkey", "text"), ("path", "text"))
@@ -289,9 +302,8 @@ def register(spark: SparkSession) -> None:
 
     for name, (f, kind) in _TEXT.items():
         spark.udf.register(name, _batched(f, kind))
-    schema = "key string, value string, type string, atom string, id bigint, parent bigint, fullkey string, path string"
-    spark.udtf.register("lk_json_each", F.udtf(_Each, returnType=schema))
-    spark.udtf.register("lk_json_tree", F.udtf(_Tree, returnType=schema))
+    spark.udf.register("lk_json_each", _rows(False))
+    spark.udf.register("lk_json_tree", _rows(True))
     for name, (f, kind) in fts.FUNCTIONS.items():
         spark.udf.register(name, _batched(f, kind))
     spark._larkspur_udfs = True

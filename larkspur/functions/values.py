@@ -255,6 +255,9 @@ def same(a: E, b: E) -> E:
 def arithmetic(op: str, a: E, b: E) -> E:
     a, b = number(a), number(b)
     whole = a.t == b.t == "int"
+    if op in "+-*" and whole and all(isinstance(x.const, int) for x in (a, b)):
+        exact = {"+": a.const + b.const, "-": a.const - b.const, "*": a.const * b.const}[op]
+        return literal(exact if -(1 << 63) <= exact < 1 << 63 else float(exact))
     if op in "+-*":
         f = {"+": "try_add", "-": "try_subtract", "*": "try_multiply"}[op]
         return E(f"{f}({a.sql}, {b.sql})", "int") if whole else E(f"({real(a)} {op} {real(b)})", "real")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 MOST_ROUNDS: int | None = None
 #: Up to so many rows are held as local rows.
 LOCAL_ROWS = 5_000
+#: Sources of so many bytes are not first looked at for few rows.
+LARGE_BYTES = 64 << 20
+
+
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder's name under spark.checkpoint.dir; only where that is unset, as in tests, under one of our own."""
+    """A new folder's name under spark.checkpoint.dir; where that is unset, as in tests, under one of our own if all runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise SqlError("spark.checkpoint.dir must name a folder that driver and executors share", "config")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="larkspur-")
+        folder = _own[context.applicationId]
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -27,11 +37,30 @@ def keep(df: DataFrame) -> DataFrame:
     """Writes rows into the shared folder, which ends their lineage."""
     path = shared_folder(df.sparkSession, "rows")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return from_paths(df.sparkSession, df.schema, [path])
+
+
+def from_paths(spark: SparkSession, schema, paths: list[str]) -> DataFrame:
+    """The rows of folders that keep() wrote, as one relation."""
+    out = spark.read.schema(schema).parquet(*paths)
+    out.paths = paths
+    return out
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of the size of df's sources, without a job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def settle(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Rows without the plan that made them: up to LOCAL_ROWS as local rows, more as files in the shared folder."""
+    """Rows without the plan that made them: up to LOCAL_ROWS as local rows, more as files in the shared folder.
+
+    A plan over much data is run once, into files, whatever comes of it.
+    """
+    if plan_bytes(df) > LARGE_BYTES:
+        return keep(df)
     head = df.limit(LOCAL_ROWS + 1).toArrow()
     if head.num_rows <= LOCAL_ROWS:
         out = spark.createDataFrame(head, df.schema)

@@ -84,7 +84,7 @@ _add("agg_all", "SELECT o_orderstatus, count(*) AS n, count(o_totalprice) AS c,
 _add("agg_filter", "SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS n, sum(l_linenumber) FILTER (WHERE l_discount > 0.05) AS s FROM lineitem GROUP BY l_returnflag",
      f"SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS n, {B('sum(l_linenumber) FILTER (WHERE l_discount > 0.05)')} AS s FROM lineitem GROUP BY 1")
 _add("agg_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n, sum(DISTINCT o_custkey % 10) AS s FROM orders GROUP BY o_orderstatus", f"SELECT o_orderstatus, count(DISTINCT o_custkey) AS n, {B('sum(DISTINCT o_custkey % 10)')} AS s FROM orders GROUP BY 1")
-_add("agg_total", "SELECT o_orderstatus, round(total(o_totalprice), 2) AS t FROM orders WHERE o_custkey < 1000 GROUP BY o_orderstatus", "SELECT o_orderstatus, round(coalesce(sum(o_totalprice), 0.0::double), 2) AS t FROM orders WHERE o_custkey < 1000 GROUP BY 1")
+_add("agg_total", "SELECT o_orderstatus, round(total(o_totalprice), 2) AS t FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(coalesce(sum(o_totalprice), 0.0::double), 2) AS t FROM orders GROUP BY 1")
 _add("agg_empty_input", "SELECT count(*) AS n, sum(o_custkey) AS s, total(o_custkey) AS t, max(o_orderstatus) AS m FROM orders WHERE o_orderkey < 0", f"SELECT count(*) AS n, {B('sum(o_custkey)')} AS s, {D('0')} AS t, max(o_orderstatus) AS m FROM orders WHERE o_orderkey < 0")
 _add("group_ordinal_alias", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT c_mktsegment AS s2, count(*) FROM customer WHERE c_acctbal < 0 GROUP BY s2",
      "SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT c_mktsegment, count(*) FROM customer WHERE c_acctbal < 0 GROUP BY 1")
@@ -158,8 +158,8 @@ _add("nested_subqueries", "SELECT r_name FROM region WHERE r_regionkey IN (SELEC
 _add("correlated_group", "SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 3) AS n FROM region")
 
 # -- expressions
-_add("int_div_mod_zero", f"SELECT {LKEY}, l_partkey / 7 AS d, l_partkey % 7 AS m, -l_partkey / 7 AS nd, l_partkey / (l_linenumber - l_linenumber) AS z, l_partkey % 0 AS zm FROM lineitem WHERE l_linenumber = 1",
-     f"SELECT l_orderkey, {B('l_linenumber')} AS l_linenumber, l_partkey, l_suppkey, {B('l_partkey // 7')} AS d, {B('l_partkey % 7')} AS m, {B('-(l_partkey // 7)')} AS nd, {B('NULL')} AS z, {B('NULL')} AS zm FROM lineitem WHERE l_linenumber = 1")
+_add("int_div_mod_zero", f"SELECT {LKEY}, l_partkey / 7 AS d, l_partkey % 7 AS m, -l_partkey / 7 AS nd, l_partkey / (l_linenumber - l_linenumber) AS z, l_partkey % 0 AS zm FROM lineitem",
+     f"SELECT l_orderkey, {B('l_linenumber')} AS l_linenumber, l_partkey, l_suppkey, {B('l_partkey // 7')} AS d, {B('l_partkey % 7')} AS m, {B('-(l_partkey // 7)')} AS nd, {B('NULL')} AS z, {B('NULL')} AS zm FROM lineitem")
 _add("null_logic", "SELECT doc_id, quality = 1 OR toxic = 1 AS o, quality = 1 AND toxic = 1 AS a, NOT quality = 1 AS n, quality IS NULL AS i FROM documents LEFT JOIN labels USING (doc_id)",
      f"SELECT doc_id, {B('quality = 1 OR toxic = 1')} AS o, {B('quality = 1 AND toxic = 1')} AS a, {B('NOT quality = 1')} AS n, {B('quality IS NULL')} AS i FROM documents LEFT JOIN labels USING (doc_id)")
 _add("is_distinct", "SELECT doc_id, quality IS toxic AS a, quality IS NOT 1 AS b, quality IS DISTINCT FROM toxic AS c FROM documents LEFT JOIN labels USING (doc_id)",
@@ -184,7 +184,7 @@ _add("affinity_text_number", "SELECT count(*) AS n FROM events WHERE props ->> '
 _UP, _LO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _add("str_trim_substr_instr", "SELECT p_partkey, trim('  ' || p_name || ' ') AS t, substr(p_name, 3, 4) AS a, substr(p_name, -3) AS b, substr(p_name, -3, 2) AS c, instr(p_name, 'e') AS i, ltrim(p_brand, 'Bra') AS l FROM part",
      f"SELECT p_partkey, trim(p_name) AS t, substring(p_name, 3, 4) AS a, substring(p_name, -3) AS b, substring(p_name, -3, 2) AS c, {B("instr(p_name, 'e')")} AS i, ltrim(p_brand, 'Bra') AS l FROM part")
-_add("str_upper_lower_ascii", "SELECT doc_id, upper(substr(text, 1, 40)) AS u, lower(substr(text, 1, 40)) AS l FROM documents", f"SELECT doc_id, translate(substring(text, 1, 40), '{_LO}', '{_UP}') AS u, translate(substring(text, 1, 40), '{_UP}', '{_LO}') AS l FROM documents")
+_add("str_upper_lower_ascii", "SELECT doc_id, upper(text) AS u, lower(text) AS l FROM documents", f"SELECT doc_id, translate(text, '{_LO}', '{_UP}') AS u, translate(text, '{_UP}', '{_LO}') AS l FROM documents")
 _add("str_hex_quote_char", "SELECT n_name, hex(n_name) AS h, quote(n_name || '''') AS q, char(65, 66, 233) AS c, unicode(n_name) AS u, unhex('4142') = x'4142' AS b FROM nation", f"SELECT n_name, hex(n_name) AS h, '''' || n_name || '''''''' AS q, 'ABé' AS c, {B('78')} AS u, {B('1')} AS b FROM nation")
 _add("str_concat_ws", "SELECT n_name, concat(n_name, NULL, n_regionkey) AS a, concat_ws('-', n_name, NULL, n_regionkey) AS b FROM nation", "SELECT n_name, n_name || n_regionkey AS a, n_name || '-' || n_regionkey AS b FROM nation")
 _add("str_printf", "SELECT p_partkey, printf('%05d|%8.2f|%-12s|%x', p_partkey, p_retailprice, p_brand, p_size) AS f FROM part", "SELECT p_partkey, printf('%05d|%8.2f|%-12s|%x', p_partkey, p_retailprice, p_brand, p_size) AS f FROM part")
@@ -342,3 +342,185 @@ def _snapshot_folder(spark, sf_dir):
 
 _QUERIES["snapshot_roundtrip"] = _snapshot_folder
 _ORACLES["snapshot_roundtrip"] = f"SELECT k, name FROM ({_BASE}) WHERE r <> 1"
+
+# -- operators that the queries above leave out
+
+_LABELLED = "FROM documents LEFT JOIN labels USING (doc_id)"
+_add("is_null_words", f"SELECT doc_id, quality ISNULL AS a, quality NOTNULL AS b, toxic NOT NULL AS c {_LABELLED}", f"SELECT doc_id, {B('quality IS NULL')} AS a, {B('quality IS NOT NULL')} AS b, {B('toxic IS NOT NULL')} AS c {_LABELLED}")
+_add("regexp", "SELECT p_partkey, p_name REGEXP '^[a-m].*e' AS r, regexp('1$', p_brand) AS f FROM part", f"SELECT p_partkey, {B("regexp_matches(p_name, '^[a-m].*e')")} AS r, {B("regexp_matches(p_brand, '1$')")} AS f FROM part")
+_add("precedence", "SELECT p_partkey, 2 + 3 * p_size - 4 AS a, NOT p_size = 3 AND p_size < 20 OR p_size = 50 AS b, p_size & 6 | 1 << 2 AS c, p_size || '-' || -p_size AS d, p_size = 4 = 0 AS e FROM part",
+     f"SELECT p_partkey, 2 + 3 * {B('p_size')} - 4 AS a, {B('((NOT p_size = 3) AND p_size < 20) OR p_size = 50')} AS b, {B('((p_size & 6) | 1) * 4')} AS c, p_size || '-' || (-p_size) AS d, {B('p_size <> 4')} AS e FROM part")
+_add("join_range", "SELECT a.n_name, b.r_name FROM nation a JOIN region b ON a.n_nationkey BETWEEN b.r_regionkey * 5 AND b.r_regionkey * 5 + 3")
+_add("string_agg", "SELECT r_name, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name", "SELECT r_name, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+_add("jsonb_group", "SELECT n_regionkey, typeof(jsonb_group_array(n_nationkey)) AS t, json(jsonb_group_array(n_nationkey ORDER BY n_nationkey)) AS a, json(jsonb_group_object(n_name, n_nationkey ORDER BY n_nationkey)) AS o FROM nation GROUP BY n_regionkey",
+     f"SELECT {B('n_regionkey')} AS n_regionkey, 'blob' AS t, CAST(to_json(list(n_nationkey ORDER BY n_nationkey)) AS VARCHAR) AS a, '{{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_nationkey) || '}}' AS o FROM nation GROUP BY n_regionkey")
+_add("early_stop", "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 7)", "SELECT count(*) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 7)")
+_add("cte_materialized", "WITH a AS MATERIALIZED (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY 1), b AS NOT MATERIALIZED (SELECT k FROM a WHERE s > 500000) SELECT count(*) AS n, max(k) AS m FROM b", "WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY 1) SELECT count(*) AS n, max(k) AS m FROM a WHERE s > 500000")
+_add("indexed_by", "SELECT k, name FROM t INDEXED BY i WHERE name > 'I' AND k IN (SELECT k FROM t NOT INDEXED WHERE r = 2)", f"SELECT k, name FROM ({_BASE}) WHERE name > 'I' AND r = 2", script=_COPY + "CREATE INDEX i ON t(name)")
+_add("int_overflow_constant", "SELECT 9223372036854775807 + 1 AS a, -9223372036854775807 - 10 AS b, 3037000500 * 3037000500 AS c, 5 * 7 AS d", f"SELECT {D('9223372036854775808')} AS a, {D('-9223372036854775817')} AS b, {D('9223372037000250000')} AS c, {B('35')} AS d")
+
+# -- windows with EXCLUDE, over the pieces of a frame
+for _n, _f in [("rows", "ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW"), ("groups", "GROUPS BETWEEN 1 PRECEDING AND 2 FOLLOWING EXCLUDE GROUP"), ("ties", "GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES"), ("after", "ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING EXCLUDE CURRENT ROW")]:
+    _P = "PARTITION BY o_custkey ORDER BY o_orderkey" if "ROWS" in _f else "PARTITION BY o_orderstatus ORDER BY o_orderpriority"
+    _add(f"win_exclude_{_n}_all", f"SELECT o_orderkey, count(*) OVER ({_P} {_f}) AS c, CAST(sum(o_custkey) OVER ({_P} {_f}) AS BIGINT) AS s, round(avg(o_custkey) OVER ({_P} {_f}), 6) AS a, min(o_orderkey) OVER ({_P} {_f}) AS lo, max(o_totalprice) OVER ({_P} {_f}) AS hi FROM orders")
+_add("win_exclude_current_peers", "SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS s, total(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS t FROM orders",
+     f"SELECT o_orderkey, {B('sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW)')} AS s, {D('coalesce(sum(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), 0)')} AS t FROM orders")
+_add("not_in_projected_rows", "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS a, o_custkey NOT IN (SELECT CASE WHEN c_acctbal < 0 THEN c_custkey END FROM customer) AS b, o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey < 0) AS c FROM orders",
+     f"SELECT o_orderkey, {B('o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)')} AS a, {B('o_custkey NOT IN (SELECT CASE WHEN c_acctbal < 0 THEN c_custkey END FROM customer)')} AS b, {B('0')} AS c FROM orders")
+
+# -- functions
+_add("fn_unistr_like_glob", r"SELECT p_partkey, unistr('aé' || p_size) AS u, like('%e%', p_name) AS l, glob('*e*', p_name) AS g, likely(p_size) AS k, unlikely(p_size > 5) AS m, likelihood(p_size, 0.5) AS h, typeof(random()) AS r, length(randomblob(9)) AS b, hex(zeroblob(3)) AS z, subtype(json('[1]')) AS s FROM part",
+     f"SELECT p_partkey, 'aé' || p_size AS u, {B("p_name ILIKE '%e%'")} AS l, {B("contains(p_name, 'e')")} AS g, {B('p_size')} AS k, {B('p_size > 5')} AS m, {B('p_size')} AS h, 'integer' AS r, {B('9')} AS b, '000000' AS z, {B('74')} AS s FROM part")
+_add("fn_uuid", "SELECT n_nationkey, uuid_str(unhex('00112233445566778899aabbccddeeff')) AS s, hex(uuid_blob('00112233-4455-6677-8899-aabbccddeeff')) AS b, length(uuid()) AS n, uuid() GLOB '????????-????-4???-a???-????????????' AS v FROM nation",
+     f"SELECT n_nationkey, '00112233-4455-6677-8899-aabbccddeeff' AS s, '00112233445566778899AABBCCDDEEFF' AS b, {B('36')} AS n, {B('1')} AS v FROM nation")
+_add("fn_hyperbolic", "SELECT p_partkey, round(sinh(p_size / 10.0), 5) AS a, round(cosh(p_size / 10.0), 5) AS b, round(tanh(p_size / 10.0), 6) AS c, round(asinh(p_size), 6) AS d, round(acosh(p_size + 1), 6) AS e, round(atanh(1.0 / (p_size + 1)), 6) AS f, round(tan(p_size / 50.0), 6) AS g, round(asin(1.0 / p_size), 6) AS h, round(acos(1.0 / p_size), 6) AS i, round(atan(p_size), 6) AS j, round(radians(p_size), 6) AS k, round(pi(), 6) AS l, round(log2(p_size), 6) AS m, round(mod(p_size, 7.5), 6) AS n, mod(p_size, 0) AS o FROM part",
+     "SELECT p_partkey, round(sinh(p_size / 10.0::double), 5) AS a, round(cosh(p_size / 10.0::double), 5) AS b, round(tanh(p_size / 10.0::double), 6) AS c, round(asinh(p_size), 6) AS d, round(acosh(p_size + 1), 6) AS e, round(atanh(1.0::double / (p_size + 1)), 6) AS f, round(tan(p_size / 50.0::double), 6) AS g, round(asin(1.0::double / p_size), 6) AS h, round(acos(1.0::double / p_size), 6) AS i, round(atan(p_size), 6) AS j, round(radians(p_size), 6) AS k, round(pi(), 6) AS l, round(log2(p_size), 6) AS m, round(p_size % 7.5::double, 6) AS n, NULL::double AS o FROM part")
+_add("fn_ieee754_blob", "SELECT n_nationkey, hex(ieee754_to_blob(n_nationkey * 0.0 + 1.0)) AS b, ieee754_from_blob(ieee754_to_blob(n_nationkey * 1.5)) AS f, ieee754_inc(1.0, 1) > 1.0 AS g, ieee754_inc(ieee754_inc(n_nationkey + 0.5, 3), -3) AS i FROM nation",
+     f"SELECT n_nationkey, '3FF0000000000000' AS b, n_nationkey * 1.5::double AS f, {B('1')} AS g, n_nationkey + 0.5::double AS i FROM nation")
+_add("fn_now", "SELECT current_date AS d, current_time AS t, current_timestamp AS s, date('now', '+1 day') AS n, sqlite_compileoption_used('X') AS c", f"SELECT '2000-01-01' AS d, '00:00:00' AS t, '2000-01-01 00:00:00' AS s, '2000-01-02' AS n, {B('0')} AS c")
+_add("dt_timediff_months", "SELECT event_id, timediff('2024-06-15 00:00:00', ts) LIKE '+0000-0_-__ __:__:__.___' AS f, timediff(ts, '2026-03-20') LIKE '-000_-%' AS b, timediff(datetime(ts, 'start of day'), datetime(ts, 'start of day', '-2 years')) AS y FROM events",
+     f"SELECT event_id, {B('1')} AS f, {B('1')} AS b, '+0002-00-00 00:00:00.000' AS y FROM events")
+_add("json_change", """SELECT event_id, json(' { "a" : ' || props || ' } ') AS m, json_insert(props, '$.k', 9, '$.n', 8) AS i, json_replace(props, '$.k', 9, '$.n', 8) AS r, json_array_insert('[1,3]', '$[1]', event_id) AS a, json_error_position('{"a":1,}x') > 0 AS e, json(jsonb(props)) AS b, typeof(jsonb(props)) AS t FROM events""",
+     f"""SELECT event_id, '{{"a":{{"k":' || json_extract_string(props, '$.k') || '}}}}' AS m, '{{"k":' || json_extract_string(props, '$.k') || ',"n":8}}' AS i, '{{"k":9}}' AS r, '[1,' || event_id || ',3]' AS a, {B('1')} AS e, '{{"k":' || json_extract_string(props, '$.k') || '}}' AS b, 'blob' AS t FROM events""")
+_NESTED = """'{"id":' || n_nationkey || ',"tags":["' || n_name || '",null,true,2.5],"in":{"r":' || n_regionkey || '}}'"""
+_add("json_nested_paths", f"SELECT n_nationkey, json_extract(j, '$.tags[0]') AS a, json_extract(j, '$.tags[#-1]') AS b, j -> 'in' AS c, j ->> '$.in.r' AS d, json_extract(j, '$.id', '$.tags[2]') AS e, json_type(j, '$.tags[3]') AS f, json_type(j, '$.none') AS g, json_array_length(j, '$.tags') AS h, json_remove(j, '$.tags', '$.in.r') AS i FROM (SELECT n_nationkey, {_NESTED} AS j FROM nation)",
+     f"""SELECT n_nationkey, n_name AS a, '2.5' AS b, '{{"r":' || n_regionkey || '}}' AS c, CAST(n_regionkey AS VARCHAR) AS d, '[' || n_nationkey || ',true]' AS e, 'real' AS f, NULL::VARCHAR AS g, {B('4')} AS h, '{{"id":' || n_nationkey || ',"in":{{}}}}' AS i FROM nation""")
+_add("json_tree_nested", f"SELECT n.n_nationkey, j.key, j.value, j.type, j.atom, j.fullkey, j.path FROM (SELECT n_nationkey, {_NESTED} AS doc FROM nation) n, json_tree(n.doc) j",
+     f"""WITH d AS (SELECT n_nationkey, n_name, n_regionkey, {_NESTED} AS doc, '["' || n_name || '",null,true,2.5]' AS tags, '{{"r":' || n_regionkey || '}}' AS inner_ FROM nation)
+SELECT n_nationkey, NULL AS key, doc AS value, 'object' AS type, NULL AS atom, '$' AS fullkey, '$' AS path FROM d UNION ALL SELECT n_nationkey, 'id', CAST(n_nationkey AS VARCHAR), 'integer', CAST(n_nationkey AS VARCHAR), '$.id', '$' FROM d
+UNION ALL SELECT n_nationkey, 'tags', tags, 'array', NULL, '$.tags', '$' FROM d UNION ALL SELECT n_nationkey, '0', n_name, 'text', n_name, '$.tags[0]', '$.tags' FROM d UNION ALL SELECT n_nationkey, '1', NULL, 'null', NULL, '$.tags[1]', '$.tags' FROM d
+UNION ALL SELECT n_nationkey, '2', '1', 'true', '1', '$.tags[2]', '$.tags' FROM d UNION ALL SELECT n_nationkey, '3', '2.5', 'real', '2.5', '$.tags[3]', '$.tags' FROM d
+UNION ALL SELECT n_nationkey, 'in', inner_, 'object', NULL, '$.in', '$' FROM d UNION ALL SELECT n_nationkey, 'r', CAST(n_regionkey AS VARCHAR), 'integer', CAST(n_regionkey AS VARCHAR), '$.in.r', '$.in' FROM d""")
+_add("json_each_path", f"SELECT n.n_nationkey, j.key, j.value, j.type, j.fullkey FROM (SELECT n_nationkey, {_NESTED} AS doc FROM nation) n, json_each(n.doc, '$.tags') j",
+     "SELECT n_nationkey, k AS key, CASE k WHEN '0' THEN n_name WHEN '2' THEN '1' WHEN '3' THEN '2.5' END AS value, t AS type, '$.tags[' || k || ']' AS fullkey FROM nation, (VALUES ('0', 'text'), ('1', 'null'), ('2', 'true'), ('3', 'real')) v(k, t)")
+
+# -- full text
+_UTOK = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{M}\p{N}]+')"
+_add("fts_unicode61", "SELECT rowid AS doc_id FROM d WHERE d MATCH 'CIÓN OR para'", f"SELECT doc_id FROM documents WHERE list_contains({_UTOK}, 'cion') OR list_contains({_UTOK}, 'para')", script=_FTS.format("unicode61"))
+_BM = f"WITH t AS (SELECT doc_id, {_TOK} AS a FROM documents), s AS (SELECT count(*) AS n, avg(len(a)) AS m, count(*) FILTER (WHERE list_contains(a, 'with')) AS df FROM t), x AS (SELECT doc_id, len(list_filter(a, lambda y: y = 'with')) AS tf, len(a) AS dl FROM t WHERE list_contains(a, 'with')), r AS (SELECT doc_id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2::double) / (tf + 1.2::double * (0.25 + 0.75 * dl / m)) AS score FROM x, s)"
+_add("fts_rank", "SELECT rowid AS doc_id, round(rank, 5) AS score FROM d WHERE d MATCH 'with' ORDER BY rank", f"{_BM} SELECT doc_id, round(score, 5) AS score FROM r", script=_FTS.format("ascii"))
+_add("fts_rank_bound", "SELECT count(*) AS n FROM d WHERE d MATCH 'with' AND rank < 0", f"{_BM} SELECT count(*) AS n FROM r WHERE score < 0", script=_FTS.format("ascii"))
+_add("fts_offsets", "SELECT rowid AS doc_id, (length(offsets(d)) - length(replace(offsets(d), ' ', '')) + 1) / 4 AS n FROM d WHERE d MATCH 'with'", f"SELECT doc_id, {B(f"len(list_filter({_TOK}, lambda y: y = 'with'))")} AS n FROM documents WHERE list_contains({_TOK}, 'with')", script=_FTS.format("ascii"))
+_add("fts_matchinfo", "SELECT rowid AS doc_id, hex(matchinfo(d, 'pc')) AS m, hex(matchinfo(d, 'y')) = hex(matchinfo(d, 'y')) AS y FROM d WHERE d MATCH 'with the'", f"SELECT doc_id, '0200000001000000' AS m, {B('1')} AS y FROM documents WHERE list_contains({_TOK}, 'with') AND list_contains({_TOK}, 'the')", script=_FTS.format("ascii"))
+_add("fts_highlight_text", "SELECT rowid AS doc_id, replace(replace(highlight(d, 0, '<~', '~>'), '<~', ''), '~>', '') = text AS same, (length(highlight(d, 0, '~', '')) - length(text)) AS n FROM d WHERE d MATCH 'onto OR with'",
+     f"SELECT doc_id, {B('1')} AS same, {B(f"len(list_filter({_TOK}, lambda y: y = 'with' OR y = 'onto'))")} AS n FROM documents WHERE list_contains({_TOK}, 'with') OR list_contains({_TOK}, 'onto')", script=_FTS.format("ascii"))
+_add("fts_computed", "SELECT rowid AS doc_id FROM d WHERE d MATCH 'wi' || (SELECT 'th')", f"SELECT doc_id FROM documents WHERE list_contains({_TOK}, 'with')", script=_FTS.format("ascii"))
+_add("fts_by_row", "SELECT q.k, count(*) AS n FROM (VALUES (1, 'with'), (2, '\"the and\"'), (3, 'thereaf* OR onth*'), (4, 'NEAR(the with, 2)')) AS v JOIN d JOIN (SELECT 1 AS k, 'with' AS q UNION ALL SELECT 2, '\"the and\"' UNION ALL SELECT 3, 'thereaf* OR onth*') AS q ON v.column1 = q.k AND d MATCH q.q GROUP BY q.k",
+     f"SELECT {B('k')} AS k, count(*) AS n FROM documents, (VALUES (1), (2), (3)) v(k) WHERE CASE k WHEN 1 THEN list_contains({_TOK}, 'with') WHEN 2 THEN contains({_J}, ' the and ') ELSE contains({_J}, ' thereaf') OR contains({_J}, ' onth') END GROUP BY k", script=_FTS.format("ascii"))
+_add("fts_near_six", "SELECT rowid AS doc_id FROM d WHERE d MATCH 'NEAR(the the the the the the, 1000000)'", f"SELECT doc_id FROM documents WHERE len(list_filter({_TOK}, lambda y: y = 'the')) >= 6", script=_FTS.format("ascii"))
+_add("fts_vocab_col", "SELECT term, col, doc, cnt FROM v", f"SELECT term, 'text' AS col, count(DISTINCT doc_id) AS doc, count(*) AS cnt FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1", script=_FTS.format("ascii") + "; CREATE VIRTUAL TABLE v USING fts5vocab(d, col)")
+_add("fts_vocab_instance", 'SELECT term, doc, col, "offset" AS o FROM v WHERE term GLOB \'the*\'', f"SELECT term, doc_id AS doc, 'text' AS col, {B('pos - 1')} AS o FROM (SELECT doc_id, unnest({_TOK}) AS term, unnest(range(1, len({_TOK}) + 1)) AS pos FROM documents) WHERE starts_with(term, 'the')", script=_FTS.format("ascii") + "; CREATE VIRTUAL TABLE v USING fts5vocab(d, instance)")
+_NOTES = "CREATE VIRTUAL TABLE m USING {}(a, b); INSERT INTO m(rowid, a, b) SELECT n_nationkey, n_name, 'in region ' || r_name FROM nation JOIN region ON r_regionkey = n_regionkey;"
+_add("fts4_query", "SELECT rowid AS k, a FROM m WHERE m MATCH 'b:region asia'", "SELECT n_nationkey AS k, n_name AS a FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'", script=_NOTES.format("fts4"))
+_add("fts_column_filter", "SELECT rowid AS k FROM m WHERE m MATCH 'a : ^i* NOT b : asia'", "SELECT n_nationkey AS k FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_name LIKE 'I%' AND r_name <> 'ASIA'", script=_NOTES.format("fts5"))
+_add("fts_changes", "SELECT rowid AS k, b FROM m WHERE m MATCH 'europe OR changed'", "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'changed row' ELSE 'in region EUROPE' END AS b FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey <> 7 AND (r_name = 'EUROPE' OR n_nationkey % 5 = 0)",
+     script=_NOTES.format("fts5") + "UPDATE m SET b = 'changed row' WHERE rowid % 5 = 0; DELETE FROM m WHERE rowid = 7; INSERT INTO m(m) VALUES ('optimize'); INSERT INTO m(m) VALUES ('integrity-check')")
+_add("fts_delete_all", "SELECT count(*) AS n FROM m", "SELECT 0::bigint AS n", script=_NOTES.format("fts5") + "INSERT INTO m(m) VALUES ('delete-all')")
+_add("rtree_helpers", "SELECT rtreecheck('boxes') AS c, count(*) AS n FROM boxes WHERE x0 BETWEEN 5 AND 9", "SELECT 'ok' AS c, count(*) AS n FROM part WHERE p_size BETWEEN 5 AND 9", script="CREATE VIRTUAL TABLE boxes USING rtree(id, x0, x1); INSERT INTO boxes SELECT p_partkey, p_size, p_size + 2 FROM part")
+
+# -- changes to large tables
+_ORDERS = "CREATE TABLE o(k INTEGER PRIMARY KEY, c INTEGER, s TEXT, p REAL); INSERT INTO o SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders;"
+_OBASE = "SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_totalprice AS p FROM orders"
+_add("dml_orders_insert", "SELECT k, c, s, p FROM o", _OBASE, script=_ORDERS)
+_add("dml_orders_update", "SELECT k, c, s, round(p, 2) AS p FROM o", f"SELECT k, c, CASE WHEN s = 'P' THEN 'pending' ELSE s END AS s, round(CASE WHEN s = 'P' THEN p * 1.1::double ELSE p END, 2) AS p FROM ({_OBASE})", script=_ORDERS + "UPDATE o SET s = 'pending', p = p * 1.1 WHERE s = 'P'")
+_add("dml_orders_delete", "SELECT k, c, s, p FROM o", f"SELECT * FROM ({_OBASE}) WHERE NOT (c IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))", script=_ORDERS + "DELETE FROM o WHERE c IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+_add("dml_orders_upsert", "SELECT k, c, s, round(p, 2) AS p FROM o", f"SELECT k, c, CASE WHEN k % 4 = 0 THEN 'again' ELSE s END AS s, round(CASE WHEN k % 4 = 0 THEN p + 1 ELSE p END, 2) AS p FROM ({_OBASE}) UNION ALL SELECT -o_orderkey, 0, 'new', 0 FROM orders WHERE o_orderkey % 4 = 1",
+     script=_ORDERS + "INSERT INTO o SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE -o_orderkey END, 0, 'new', 0.0 FROM orders WHERE o_orderkey % 4 < 2 ON CONFLICT(k) DO UPDATE SET s = 'again', p = p + 1")
+_add("dml_orders_replace", "SELECT k, c, s, p FROM o", f"SELECT k, CASE WHEN k % 3 = 0 THEN -1 ELSE c END AS c, CASE WHEN k % 3 = 0 THEN 'R' ELSE s END AS s, CASE WHEN k % 3 = 0 THEN 0 ELSE p END AS p FROM ({_OBASE})", script=_ORDERS + "INSERT OR REPLACE INTO o SELECT o_orderkey, -1, 'R', 0.0 FROM orders WHERE o_orderkey % 3 = 0")
+_add("dml_orders_update_from", "SELECT k, s FROM o", f"SELECT k, c_mktsegment AS s FROM ({_OBASE}) JOIN customer ON c = c_custkey", script=_ORDERS + "UPDATE o SET s = c_mktsegment FROM customer WHERE c_custkey = o.c")
+_add("dml_lineitem_numbered", "SELECT count(*) AS n, count(DISTINCT rowid) AS d, min(rowid) AS lo, max(rowid) AS hi, sum(q) AS q FROM l", f"SELECT count(*) AS n, count(*) AS d, {B('1')} AS lo, count(*) AS hi, {B('sum(l_linenumber)')} AS q FROM lineitem", script="CREATE TABLE l(q INTEGER, f TEXT); INSERT INTO l SELECT l_linenumber, l_returnflag FROM lineitem")
+_add("dml_many_inserts", "SELECT k, v FROM m", f"SELECT {B('x')} AS k, 'row ' || x AS v FROM range(1, 31) t(x)", script="CREATE TABLE m(k INTEGER PRIMARY KEY, v TEXT);" + "".join(f"INSERT INTO m(v) VALUES ('row {i}');" for i in range(1, 31)))
+_add("dml_default_values", "SELECT k, a, b FROM e", f"SELECT {B('x')} AS k, {B('7')} AS a, 'none' AS b FROM range(1, 3) t(x)", script="CREATE TABLE e(k INTEGER PRIMARY KEY, a INTEGER DEFAULT 7, b TEXT DEFAULT 'none'); INSERT INTO e DEFAULT VALUES; INSERT INTO e DEFAULT VALUES")
+_add("dml_cte", "SELECT k, name, r FROM t", f"SELECT k, CASE WHEN r = 2 THEN 'Z' ELSE name END AS name, r FROM ({_BASE}) WHERE r <> 1 UNION ALL SELECT r_regionkey + 50, r_name, 9 FROM region",
+     script=_COPY + "WITH x AS (SELECT k FROM t WHERE r = 1) DELETE FROM t WHERE k IN (SELECT k FROM x); WITH x(a, b) AS (SELECT r_regionkey + 50, r_name FROM region) INSERT INTO t SELECT a, b, 9 FROM x; WITH x AS (SELECT 2 AS y) UPDATE t SET name = 'Z' WHERE r = (SELECT y FROM x)")
+_add("dml_counters", "SELECT changes() AS c, total_changes() AS t, last_insert_rowid() AS l", f"SELECT {B('5')} AS c, {B('36')} AS t, {B('77')} AS l", script=_COPY + "INSERT INTO t VALUES (77, 'x', 0); DELETE FROM t WHERE k IN (0, 1, 2, 3, 4, 5) AND k > 0 OR k = 77 AND r = 5; UPDATE t SET r = 3 WHERE k IN (10, 11, 12, 13, 14)")
+_add("dml_constraints_ignore", "SELECT k, u, c FROM q", f"SELECT {B('n_nationkey')} AS k, n_name AS u, {B('n_regionkey')} AS c FROM nation WHERE n_regionkey > 0",
+     script="CREATE TABLE q(k INTEGER PRIMARY KEY, u TEXT NOT NULL UNIQUE, c INTEGER CHECK (c > 0)); INSERT OR IGNORE INTO q SELECT n_nationkey, n_name, n_regionkey FROM nation; INSERT OR IGNORE INTO q SELECT n_nationkey + 100, n_name, 1 FROM nation WHERE n_regionkey > 0; INSERT OR IGNORE INTO q VALUES (500, NULL, 1)")
+_add("view_instead_of", "SELECT k, name, r FROM t", f"SELECT k, CASE WHEN k = 3 THEN 'three' ELSE name END AS name, r FROM ({_BASE}) WHERE k <> 4 UNION ALL SELECT 200, 'added', 0",
+     script=_COPY + "CREATE VIEW w AS SELECT k, name FROM t; CREATE TRIGGER wi INSTEAD OF INSERT ON w BEGIN INSERT INTO t VALUES (new.k, new.name, 0); END; CREATE TRIGGER wu INSTEAD OF UPDATE ON w BEGIN UPDATE t SET name = new.name WHERE k = old.k; END; CREATE TRIGGER wd INSTEAD OF DELETE ON w BEGIN DELETE FROM t WHERE k = old.k; END; INSERT INTO w VALUES (200, 'added'); UPDATE w SET name = 'three' WHERE k = 3; DELETE FROM w WHERE k = 4")
+_add("trigger_when_update_of", "SELECT k, was, now FROM log", f"SELECT {B('n_nationkey')} AS k, {B('n_regionkey')} AS was, {B('n_regionkey + 10')} AS now FROM nation WHERE n_nationkey < 6 AND n_regionkey > 1",
+     script=_COPY + "CREATE TABLE log(k INTEGER, was INTEGER, now INTEGER); CREATE TRIGGER a AFTER UPDATE OF r ON t WHEN old.r > 1 BEGIN INSERT INTO log VALUES (old.k, old.r, new.r); END; UPDATE t SET r = r + 10 WHERE k < 6; UPDATE t SET name = 'x' WHERE k < 3")
+_add("trigger_raise_ignore", "SELECT k, name, r FROM t", f"SELECT * FROM ({_BASE}) WHERE r <> 3 OR k > 20", script=_COPY + "CREATE TRIGGER b BEFORE DELETE ON t WHEN old.k > 20 BEGIN SELECT RAISE(IGNORE); END; DELETE FROM t WHERE r = 3")
+_FK = "PRAGMA foreign_keys = ON; CREATE TABLE p(id INTEGER PRIMARY KEY); CREATE TABLE c(k INTEGER PRIMARY KEY, p INTEGER DEFAULT 0 REFERENCES p(id) {}); INSERT INTO p SELECT r_regionkey FROM region; INSERT INTO c SELECT n_nationkey, n_regionkey FROM nation;"
+_add("fk_set_null", "SELECT k, p FROM c", f"SELECT {B('n_nationkey')} AS k, {B('CASE WHEN n_regionkey = 2 THEN 20 WHEN n_regionkey <> 1 THEN n_regionkey END')} AS p FROM nation", script=_FK.format("ON DELETE SET NULL ON UPDATE CASCADE") + "DELETE FROM p WHERE id = 1; UPDATE p SET id = 20 WHERE id = 2")
+_add("fk_set_default", "SELECT k, p FROM c", f"SELECT {B('n_nationkey')} AS k, {B('CASE WHEN n_regionkey = 3 THEN 0 ELSE n_regionkey END')} AS p FROM nation", script=_FK.format("ON DELETE SET DEFAULT") + "DELETE FROM p WHERE id = 3")
+_add("drop_objects", "SELECT type, name FROM sqlite_schema", "SELECT 'table' AS type, 't' AS name", script=_COPY + "CREATE TABLE z(a); CREATE VIEW w AS SELECT k FROM t; CREATE INDEX i ON t(name); CREATE TRIGGER g AFTER INSERT ON t BEGIN SELECT 1; END; DROP TRIGGER g; DROP INDEX i; DROP VIEW w; DROP TABLE z; DROP TABLE IF EXISTS nowhere")
+_add("index_kinds", "SELECT name FROM sqlite_schema WHERE type = 'index'", "SELECT unnest(['i1', 'i2', 'i3', 'i4']) AS name", script=_COPY + "CREATE UNIQUE INDEX i1 ON t(name COLLATE NOCASE DESC, r); CREATE INDEX i2 ON t(lower(name)); CREATE INDEX i3 ON t(r) WHERE r > 2; CREATE INDEX IF NOT EXISTS i4 ON t(k, r); REINDEX; VACUUM; ANALYZE")
+_add("strict_without_rowid", "SELECT a, b FROM s", "SELECT n_name AS a, n_nationkey AS b FROM nation", script="CREATE TABLE s(a TEXT PRIMARY KEY, b INTEGER) STRICT, WITHOUT ROWID; INSERT INTO s SELECT n_name, n_nationkey FROM nation; CREATE TEMP TABLE IF NOT EXISTS x(a); DROP TABLE x")
+_add("detach", "SELECT name FROM pragma_database_list", "SELECT 'main' AS name", script="ATTACH 'x' AS other; CREATE TABLE other.t(a); DETACH other")
+_add("pragma_index_list", 'SELECT name, "unique" AS u, partial AS p FROM pragma_index_list(\'t\')', f"SELECT name, {B('u')} AS u, {B('p')} AS p FROM (VALUES ('i2', 0, 1), ('i1', 1, 0)) v(name, u, p)", script=_COPY + "CREATE UNIQUE INDEX i1 ON t(name); CREATE INDEX i2 ON t(r) WHERE r > 1")
+_add("pragma_index_info", "SELECT seqno, name FROM pragma_index_info('i')", f"SELECT {B('s')} AS seqno, name FROM (VALUES (0, 'r'), (1, 'name')) v(s, name)", script=_COPY + "CREATE INDEX i ON t(r, name)")
+_add("pragma_foreign_key_list", 'SELECT "table" AS t, "from" AS f, "to" AS o, on_delete AS d FROM pragma_foreign_key_list(\'c\')', "SELECT 'p' AS t, 'p' AS f, 'id' AS o, 'SET NULL' AS d", script=_FK.format("ON DELETE SET NULL"))
+_add("txn_nested", "SELECT k, name, r FROM t", f"SELECT k, CASE WHEN k = 2 THEN 'two' ELSE name END AS name, r FROM ({_BASE})", script=_COPY + "BEGIN; DELETE FROM t; ROLLBACK; BEGIN IMMEDIATE; UPDATE t SET name = 'two' WHERE k = 2; SAVEPOINT a; DELETE FROM t WHERE k = 2; SAVEPOINT b; DELETE FROM t; ROLLBACK TO a; RELEASE a; COMMIT")
+_add("dbstat", "SELECT name, ncell FROM st", "SELECT 't' AS name, count(*) AS ncell FROM nation", script=_COPY + "CREATE VIRTUAL TABLE st USING dbstat")
+
+
+def _steps(name: str, oracle: str, run: Callable) -> None:
+    """Registers a query over the host API: run gets a Database over the data folder."""
+
+    def made(spark, sf_dir):
+        from larkspur.api import Database
+
+        return run(Database(spark).attach_folder(sf_dir))
+
+    _QUERIES[name] = made
+    _ORACLES[name] = oracle
+
+
+def _refused(db, sql: str) -> None:
+    from larkspur.errors import SqlError
+
+    try:
+        db.exec(sql)
+    except SqlError:
+        return
+    raise AssertionError(f"not refused: {sql}")
+
+
+def _after(*steps: str, show: str = "SELECT k, name, r FROM t"):
+    """Runs statements, of which those that begin with ! must be refused, and shows what they leave."""
+
+    def run(db):
+        for s in steps:
+            _refused(db, s[1:]) if s.startswith("!") else db.exec(s)
+        return db.query(show)
+
+    return run
+
+
+_steps("param_positional", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'", lambda db: db.query("SELECT o_orderkey FROM orders WHERE o_totalprice > ? AND o_orderstatus = ?2", [200000, "O"]))
+_steps("param_named", f"SELECT o_orderkey, {B('7')} AS x FROM orders WHERE o_custkey BETWEEN 10 AND 90", lambda db: db.query("SELECT o_orderkey, $x AS x FROM orders WHERE o_custkey BETWEEN :lo AND @hi", {"lo": 10, "hi": 90, "x": 7}))
+_steps("prepared_again", f"SELECT {B('20')} AS n", lambda db: _prepared(db))
+_steps("or_abort", _BASE, _after(_COPY, "!INSERT INTO t VALUES (900, 'a', 0), (3, 'b', 0)"))
+_steps("or_fail", _BASE, _after(_COPY, "!INSERT OR FAIL INTO t VALUES (3, 'b', 0)"))
+_steps("or_rollback", _BASE, _after(_COPY, "BEGIN; DELETE FROM t WHERE k = 5", "!INSERT OR ROLLBACK INTO t VALUES (3, 'b', 0)"))
+_steps("constraints_refused", f"SELECT {B('1')} AS k, 'a' AS u", _after("CREATE TABLE q(k INTEGER PRIMARY KEY, u TEXT NOT NULL UNIQUE CHECK (length(u) < 3)); INSERT INTO q VALUES (1, 'a')", "!INSERT INTO q VALUES (1, 'b')", "!INSERT INTO q VALUES (2, 'a')", "!INSERT INTO q VALUES (2, NULL)", "!INSERT INTO q VALUES (2, 'long')", "!UPDATE q SET u = NULL", show="SELECT k, u FROM q"))
+_steps("fk_restrict", "SELECT CAST(r_regionkey AS BIGINT) AS id FROM region", _after(_FK.format("ON DELETE RESTRICT"), "!DELETE FROM p WHERE id = 1", "!INSERT INTO c VALUES (900, 77)", show="SELECT id FROM p"))
+_steps("fk_no_action", "SELECT CAST(r_regionkey AS BIGINT) AS id FROM region", _after(_FK.format(""), "!DELETE FROM p WHERE id = 2", show="SELECT id FROM p"))
+_steps("trigger_raise_abort", _BASE, _after(_COPY, "CREATE TRIGGER b BEFORE DELETE ON t WHEN old.k = 7 BEGIN SELECT RAISE(ABORT, 'kept'); END", "!DELETE FROM t"))
+_steps("refused_statements", f"SELECT {B('1')} AS ok", _after("!SELECT 1 UNION SELECT 1, 2", "!SELECT nosuch FROM nation WHERE 1 = 0", "!SELECT sum(row_number() OVER ()) FROM nation WHERE row_number() OVER () > 1", "!SELECT count(*) FROM nosuch", "!SELECT nosuch(1)", "!SELECT abs(1, 2)", show="SELECT 1 AS ok"))
+_steps("pragma_user_version", f"SELECT {B('7')} AS user_version", lambda db: (db.exec("PRAGMA user_version = 7"), db.query("PRAGMA user_version"))[1])
+_steps("api_transaction", f"SELECT * FROM ({_BASE}) WHERE k <> 1", lambda db: _transacted(db))
+
+
+def _prepared(db):
+    db.exec(_COPY)
+    q = db.prepare("SELECT count(*) AS n FROM t WHERE k >= ?")
+    before = q.get(0)["n"], q.get(0)["n"], q.get(20)["n"]
+    db.prepare("DELETE FROM t WHERE k >= ?").run(20)
+    if before != (25, 25, 5):
+        raise AssertionError(before)
+    return q.result(0)
+
+
+def _transacted(db):
+    db.exec(_COPY)
+    with db.transaction():
+        db.exec("DELETE FROM t WHERE k = 1")
+        try:
+            with db.transaction():
+                db.exec("DELETE FROM t")
+                raise KeyError
+        except KeyError:
+            pass
+    return db.query("SELECT k, name, r FROM t")

@@ -8,6 +8,7 @@ division, row values, projected NOT IN, left-associative compounds, and recursiv
 from __future__ import annotations
 
 import itertools
+import re
 from typing import NamedTuple
 
 from larkspur.errors import SqlError
@@ -94,20 +95,21 @@ class Lowering:
         self.db, self.params = db, params
         self.ctes: list[dict[str, Rel]] = [{}]
         self.agg = None
+        self.windows: dict | None = None  # named windows where a window function may stand
         self.ranks: dict[int, tuple[str, str]] = {}
 
     # -- queries
     def query(self, s: Node, outer: Scope | None = None, names: list[str] | None = None) -> Rel:
-        saved, saved_agg = dict(self.ctes[-1]), self.agg
+        saved, saved_agg, saved_windows = dict(self.ctes[-1]), self.agg, self.windows
         self.ctes.append(saved)
-        self.agg = None
+        self.agg = self.windows = None
         try:
             if s.ctes:
                 self.with_clause(s.ctes, outer)
             return self.compound(s, outer)
         finally:
             self.ctes.pop()
-            self.agg = saved_agg
+            self.agg, self.windows = saved_agg, saved_windows
 
     def with_clause(self, ctes: Node, outer) -> None:
         for c in ctes.items:
@@ -206,7 +208,7 @@ class Lowering:
                 (f, args), = mins
                 pick = f, v.value(self.expr(args[0], scope))
             self.agg = Node(keys=set(keys), pick=pick)
-        self.windows = c.windows
+        self.windows = c.windows or {}
         out, names = [], []
         for name, e, _ in items:
             x = e if isinstance(e, E) and not grouped else self._bare(e) if isinstance(e, E) else self.expr(e, scope)
@@ -439,6 +441,8 @@ class Lowering:
 
     def over(self, n, scope: Scope) -> E:
         _, name, args, opts = n
+        if self.windows is None:
+            raise SqlError(f"misuse of window function {name}()", "misuse")
         w = self.window_spec(opts.over, self.windows)
         saved = self.agg
         xs = [self.expr(a, scope) for a in args]
@@ -461,12 +465,52 @@ class Lowering:
             else:
                 spec = f"({head}{by})"
             return aggregates.RANKING[name](xs, spec)
+        if f is not None and f.exclude and name in aggregates.IN_PIECES and not opts.distinct:
+            pieces = self._pieces(f, part, order, g, k)
+            if pieces is not None:
+                return aggregates.in_pieces(name, xs, pieces, filt)
         if f is not None and f.exclude:
             return aggregates.excluded(name, xs, opts, spec, g, k, f.exclude, filt)
         if name in aggregates.FRAME_VALUES:
             return aggregates.FRAME_VALUES[name](xs, spec)
         return aggregates.windowed(name, xs, opts, spec, filt)
 
+    def _place(self, b) -> float:
+        """Where a frame's bound lies from the current row, in rows or groups."""
+        kind, e = b
+        sign = -1 if kind.endswith("PRECEDING") else 1
+        return 0 if kind == "CURRENT" else sign * float("inf") if e is None else sign * self.constant(e, "frame")
+
+    def _pieces(self, f, part: list[str], order: list[str], g: str, k: str) -> list[str] | None:
+        """The windows that together are a frame without what EXCLUDE names; None where the frame may hold a part of the peers only."""
+        lo, hi = self._place(f.lo), self._place(f.hi)
+        inf = float("inf")
+
+        def window(keys: list[str], by: list[str], mode: str, a: float, b: float) -> str:
+            def bound(n):
+                return "CURRENT ROW" if n == 0 else f"{'UNBOUNDED' if abs(n) == inf else int(abs(n))} {'PRECEDING' if n < 0 else 'FOLLOWING'}"
+
+            head = f"PARTITION BY {', '.join(keys)} " if keys else ""
+            return f"({head}ORDER BY {', '.join(by)} {mode} BETWEEN {bound(a)} AND {bound(b)})"
+
+        def around(keys, by, mode) -> list[str]:
+            """The frame without its middle, or all of it where the middle lies outside."""
+            if not lo <= 0 <= hi:
+                return [window(keys, by, mode, lo, hi)] if lo <= hi else []
+            return ([window(keys, by, mode, lo, -1)] if lo < 0 else []) + ([window(keys, by, mode, 1, hi)] if hi > 0 else [])
+
+        if f.mode == "ROWS":
+            return around(part, order or ["1"], "ROWS") if f.exclude == "CURRENT ROW" else None
+        if f.mode == "RANGE" and not {lo, hi} <= {-inf, 0, inf}:
+            return None
+        out = around(part, [f"{g} ASC"], "RANGE")  # over the number of the peer group, both modes are the same
+        if not lo <= 0 <= hi or f.exclude == "GROUP":
+            return out
+        peers, by = [*part, g], [f"{k} ASC"]
+        if f.exclude == "TIES":
+            return [*out, window(peers, by, "ROWS", 0, 0)]
+        return [*out, window(peers, by, "ROWS", -inf, -1), window(peers, by, "ROWS", 1, inf)]
+
     def _bound(self, b, mode) -> str:
         kind, e = b
         if kind == "CURRENT":
@@ -545,10 +589,28 @@ class Lowering:
         return v.literal(self.db.bound(self.params, e[1]))
 
     def x_col(self, e, scope):
-        x = scope.find(e[1], e[2], len(e) > 3 and e[3])
+        try:
+            x = scope.find(e[1], e[2], len(e) > 3 and e[3])
+        except SqlError:
+            table = self._ranked(e, scope)
+            if table is None:
+                raise
+            from larkspur.functions import fts
+
+            return fts.rank(self, table, scope)
         inside = any(c.e.sql == x.sql for c in scope.columns)
         return self._bare(x) if self.agg is not None and inside else x
 
+    @staticmethod
+    def _ranked(e, scope: Scope) -> str | None:
+        """The full-text table whose hidden column rank e names."""
+        while scope is not None and e[2].lower() == "rank":
+            for table in scope.fts:
+                if e[1] is None or e[1].lower() == table:
+                    return table
+            scope = scope.outer
+        return None
+
     def x_row(self, e, scope):
         raise SqlError("row value misused", "syntax")
 
@@ -653,6 +715,11 @@ class Lowering:
         # three-valued: a match, or else unknown if the comparison with some row is unknown
         maybe = " OR ".join(f"({x.sql} IS NULL OR {y.sql} IS NULL)" for x, y in zip(xs, ys))
         yes, no = ("FALSE", "TRUE") if negated else ("TRUE", "FALSE")
+        if len(xs) == 1 and not _refers(rel.sql, scope):  # the counts of rows and of NULLs are computed once, the match is a hash join
+            some = f"(SELECT count(*) FROM ({rel.sql}))"
+            nulls = f"(SELECT count_if({ys[0].sql} IS NULL) FROM ({rel.sql}) {alias})"
+            unknown = f"({xs[0].sql} IS NULL AND {some} > 0) OR {nulls} > 0"
+            return E(f"(CASE WHEN EXISTS ({body} {test}) THEN {yes} WHEN {unknown} THEN NULL ELSE {no} END)", "bool")
         return E(f"(CASE WHEN EXISTS ({body} {test}) THEN {yes} WHEN EXISTS ({body} {maybe}) THEN NULL ELSE {no} END)", "bool")
 
     def x_exists(self, e, scope):
@@ -729,6 +796,15 @@ class Lowering:
         return scalars.call(name, xs, self.db)
 
 
+def _refers(sql: str, scope: Scope | None) -> bool:
+    """Whether a subquery's text names a source of the queries around it."""
+    while scope is not None:
+        if any(re.search(rf"\b{re.escape(a)}\.", sql) for a in {c.e.sql.split(".")[0] for c in scope.columns if "." in c.e.sql}):
+            return True
+        scope = scope.outer
+    return False
+
+
 def _window_key(w: Node) -> str:
     return repr((w.partition, w.order, w.frame.mode, w.frame.exclude))
 

@@ -12,13 +12,13 @@ from dataclasses import dataclass, field
 
 from larkspur.errors import SqlError
 from larkspur.functions import values as v
-from larkspur.operators.recursion import settle
+from larkspur.operators.recursion import from_paths, keep, settle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _SPARK = {"int": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "any": T.StringType(), "blob": T.BinaryType(), "null": T.StringType(), "bool": T.LongType(), "ts": T.StringType()}
 _views = itertools.count()
-__all__ = ["Catalog", "Col", "Foreign", "Index", "Key", "Table", "Trigger", "View", "external", "publish", "schema", "settle"]
+__all__ = ["Catalog", "Col", "Foreign", "Index", "Key", "Table", "Trigger", "View", "append", "empty", "external", "publish", "schema", "settle"]
 
 
 @dataclass
@@ -143,6 +143,12 @@ def schema(table: Table, types: dict[str, str] | None = None) -> T.StructType:
     return T.StructType([*cols, *(T.StructField(c.name, _SPARK[c.t]) for c in table.columns)])
 
 
+def empty(spark: SparkSession, table: Table) -> DataFrame:
+    out = spark.createDataFrame([], schema(table))
+    out.local_rows = 0
+    return out
+
+
 def publish(table: Table, df: DataFrame) -> None:
     """Makes df the table's rows, under a view of a new name so that older plans keep what they read."""
     table.df = df
@@ -150,6 +156,23 @@ def publish(table: Table, df: DataFrame) -> None:
     df.createOrReplaceTempView(table.view)
 
 
+#: Folders that a table's rows may lie in before they are written together.
+MOST_PARTS = 64
+
+
+def append(table: Table, df: DataFrame) -> None:
+    """Adds settled rows to the table's. Few rows stay local; others are written beside the files that are there, which stay as they are."""
+    old, spark = table.df, df.sparkSession
+    if getattr(old, "local_rows", None) is not None and getattr(df, "local_rows", None) is not None:
+        return publish(table, settle(spark, old.unionByName(df)))
+    new = df.select(*old.columns)
+    if [(f.name, f.dataType) for f in old.schema.fields] != [(f.name, f.dataType) for f in new.schema.fields]:
+        return publish(table, settle(spark, old.unionByName(df)))
+    paths = [p for part in (old if hasattr(old, "paths") else keep(old), keep(new)) for p in part.paths]
+    rows = from_paths(spark, old.schema, paths)
+    publish(table, keep(rows) if len(paths) > MOST_PARTS else rows)
+
+
 def external(name: str, df: DataFrame) -> Table:
     """An outside DataFrame as a table: narrow numbers widened, timestamps and dates kept as such until shown."""
     cols, select = [], []
