@@ -7,8 +7,8 @@ first line by (id, line number) stays.
 
 Equal lines are one line from the start, so only different texts are compared. Band keys travel packed by chunk and bucket, and
 only keys that different lines share become rows. In a band of many lines each is first compared with its neighbour and with the smallest.
-Where this leaves a band's lines in different components, the pairs between them are compared exactly, in blocks that are dealt
-out. At similarity 0.8 a pair shares no band with probability 0.002.
+Where this leaves a band's lines in different components, all pairs between them are decided exactly, in blocks that are dealt
+out: by a filter on the shingles at the head of the sets, and of the pairs it leaves by their Jaccard similarity. At similarity 0.8 a pair shares no band with probability 0.002.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from larkspur.llm import textbytes as tb
 from larkspur.llm.graph import components
 from larkspur.llm.ngram_join import _bucket, _pack40, _runs, _unpack40
-from larkspur.llm.store import cut, partitions, small_batches
+from larkspur.llm.store import buckets_for, cut, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,7 +178,7 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Where crowd is set, b is a line of the band a, which has pairs of lines that are not among these.
     """
-    buckets = max(64, 2 * partitions(docs.sparkSession))
+    buckets = buckets_for(docs)
 
     def sign(batches):
         for batch in batches:
@@ -279,40 +279,111 @@ def _alike(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> np
     return 100 * both >= percent * (size[:n, None] + size[None, n:] - both)
 
 
+#: Lines of small crowded bands that one task takes together, about; entries looked at together.
+BATCH, SLICE = 4096, 1 << 20
+#: From this share of all pairs on, comparing all pairs in a table is quicker than comparing those left one by one.
+DENSE = 8
+
+
+def crossing(sets: list[np.ndarray], second: np.ndarray | None, of: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of components (of) that have similar sets, one of either side where second says which sets are on the other side.
+
+    Two similar sets share a shingle of each one's head, in an order with the rarest first, and have behind it all that they share, which
+    must reach percent / (100 + percent) of their sizes together. Only pairs that pass are compared.
+    """
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((column, times[column], owner))
+    column = column[order]
+    n, left = size[owner], size[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size))
+    shared, most = times[column] > 1, (100 + percent) * left // percent - n  # most: the largest set that may share enough from here on
+    asks, lists = np.flatnonzero(shared & (100 * left >= percent * n)), np.flatnonzero(shared & (most >= n))
+    wide = int(size.max()) + 2
+    key = column[lists] * wide + n[lists]
+    by = np.argsort(key, kind="stable")
+    lists, key = lists[by], key[by]
+    low = np.searchsorted(key, column[asks] * wide - -n[asks] * percent // 100)
+    high = np.searchsorted(key, column[asks] * wide + np.minimum(n[asks], most[asks]), "right")
+    many = np.maximum(high - low, 0)
+    found, at = [np.zeros(0, np.int64)], 0
+    ends = np.cumsum(many)
+    while at < len(asks):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        c = many[at:stop]
+        a = np.repeat(asks[at:stop], c)
+        b = lists[np.repeat(low[at:stop] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+        i, j = owner[a], owner[b]
+        ok = (of[i] != of[j]) & (n[a] <= most[b])
+        if second is not None:
+            ok &= second[i] != second[j]
+        found.append(np.unique(np.maximum(i, j)[ok] * len(sets) + np.minimum(i, j)[ok]))
+        at = stop
+    i, j = np.divmod(np.unique(np.concatenate(found)), len(sets))
+    sides = (np.arange(len(sets)),) * 2 if second is None else (np.flatnonzero(~second), np.flatnonzero(second))
+    if DENSE * len(i) > len(sides[0]) * len(sides[1]):
+        one, two = sides
+        i, j = np.nonzero(_alike([sets[x] for x in one], [sets[x] for x in two], percent) & (of[one][:, None] != of[two][None, :]))
+        i, j = one[i], two[j]
+    elif len(i):
+        step = int(column.max()) + 1
+        held, start, ok = owner * step + column, np.cumsum(size) - size, np.zeros(len(i), bool)
+        held.sort()
+        ends, at = np.cumsum(size[j]), 0
+        while at < len(i):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            a, b = i[at:stop], j[at:stop]
+            first = np.cumsum(size[b]) - size[b]
+            ask = np.repeat(a, size[b]) * step + column[np.repeat(start[b] - first, size[b]) + np.arange(size[b].sum())]
+            both = np.add.reduceat((held[np.minimum(np.searchsorted(held, ask), len(held) - 1)] == ask).astype(np.int64), first)
+            ok[at:stop] = 100 * both >= percent * (size[a] + size[b] - both)
+            at = stop
+        i, j = i[ok], j[ok]
+    return np.unique(np.stack([of[i], of[j]]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+
+
 def joined_crowds(crowds: DataFrame, parts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """parts(line, component) joined by the similar pairs of different components in each band of crowds(a, b).
 
-    Blocks hold lines of one large component or of several small ones, and two blocks of one component are not compared.
+    Small bands that have their smallest line in common are taken together, a batch of them in a task, so that a line that meets others in many bands is read once.
+    The lines of a large band are dealt into blocks, of one large component or of several small ones; each block meets each other, but
+    for two blocks of one component.
     """
     lines = crowds.select(F.col("a").alias("band"), F.col("b").alias("line")).join(parts, "line", "left")
     lines = cut(lines.withColumn("component", F.coalesce("component", "line")))
-    count = lines.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    total = count.groupBy("band").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    count = cut(count.join(total, "band").drop("kinds"))
-    if not count.limit(1).count():
+    count = lines.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
+    total = count.groupBy("band").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first")).where("kinds > 1")
+    count = cut(count.drop("first").join(total, "band").drop("kinds"))
+    held = count.agg(F.sum(F.when(F.col("total") <= 2 * BLOCK, F.col("n"))).alias("small"), F.count(F.lit(1)).alias("all")).first()
+    if not held["all"]:
         return parts
+    lines = cut(lines.join(count, ["band", "component"]))
+    batches = -(-(held["small"] or 0) // BATCH) or 1
+    batch = F.pmod(F.xxhash64("first"), F.lit(batches))
+    together = lines.where(F.col("total") <= 2 * BLOCK).select(batch.alias("unit"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("sides"), "component", "line").distinct()
     own = F.xxhash64("component", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / BLOCK)))
     shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("total") / BLOCK))
-    lines = cut(lines.join(count, ["band", "component"]).withColumn("block", F.when(F.col("n") >= BLOCK, own).otherwise(shared)).select("band", "block", "component", "line"))
-    blocks = cut(lines.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    large = lines.where(F.col("total") > 2 * BLOCK).withColumn("block", F.when(F.col("n") >= BLOCK, own).otherwise(shared)).select("band", "block", "component", "line")
+    blocks = large.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     other = blocks.select("band", *(F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")))
     work = blocks.join(other, "band").where("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
-    work = work.select(F.xxhash64("band", "block", "block2").alias("unit"), "band", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    members = lines.join(work, ["band", "block"]).join(texts, "line").select("unit", "block", "component", "line_text")
+    work = work.select(F.xxhash64("band", "block", "block2").alias("unit"), "band", F.expr("block <> block2").alias("sides"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    dealt = large.join(work, ["band", "block"]).select("unit", "block", "sides", "component", "line")
+    members = together.union(dealt).join(texts, "line").select("unit", "block", "sides", "component", "line_text")
 
     def compare(rows: pa.Table) -> pa.Table:
         sets = []
         for _, buf, off in tb.chunks(rows.column("line_text")):
             h, cuts = char_shingles(buf, off[:-1], off[1:])
-            sets += [np.unique(h[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            text = np.repeat(np.arange(len(off) - 1), np.diff(cuts))
+            order = np.lexsort((h, text))
+            h, text = h[order], text[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            h, text = h[new], text[new]
+            sets += np.split(h, np.searchsorted(text, np.arange(1, len(off) - 1)))
         side, of = np.asarray(rows.column("block")), np.asarray(rows.column("component"))
-        first = np.flatnonzero(side == side[0])
-        second = np.flatnonzero(side != side[0])
-        if not len(second):
-            second = first
-        ok = _alike([sets[i] for i in first], [sets[i] for i in second], percent)
-        i, j = np.nonzero(ok & (of[first][:, None] != of[second][None, :]))
-        pair = np.unique(np.stack([of[first][i], of[second][j]]), axis=1)
+        pair = crossing(sets, side != side[0] if rows.column("sides")[0].as_py() else None, of, percent)
         return pa.table({"a": pair[0], "b": pair[1]})
 
     found = cut(members.groupBy("unit").applyInArrow(compare, "a long, b long"))
@@ -350,15 +421,15 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     small = ends.count() <= BROADCAST_KEYS
     places = rows.select("id", "text", "key").mapInArrow(_places, "line long, id long, key long, number long, line_text string")
     places = cut(places.join(F.broadcast(ends) if small else ends, "line", "left_semi"))
-    texts = cut(places.join(pairs.where("a <> b").select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line", "left_semi").groupBy("line").agg(F.min("line_text").alias("line_text")))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "number")
+    seen = cut(places.groupBy("line").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("times"), F.min("line_text").alias("line_text")))
+    texts = seen.select("line", "line_text")
     first = texts.select(F.col("line").alias("a"), F.col("line_text").alias("text_a"))
     second = texts.select(F.col("line").alias("b"), F.col("line_text").alias("text_b"))
     linked = cut(similar(pairs.where("a <> b").join(first, "a").join(second, "b"), percent))
     parts = cut(components(linked).select(F.col("node").alias("line"), "component"))
     parts = joined_crowds(crowds, parts, texts, percent)
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "number")
-    lines = places.groupBy("line").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("times"))
-    lines = lines.join(parts, "line", "left").where("times > 1 or component is not null").select("line", "lo", F.coalesce("component", "line").alias("component"))
+    lines = seen.join(parts, "line", "left").where("times > 1 or component is not null").select("line", "lo", F.coalesce("component", "line").alias("component"))
     lines = cut(lines)
     stay = lines.groupBy("component").agg(F.min("lo").alias("stay"))
     stay = cut(lines.join(stay, "component").select("line", F.col("stay.key").alias("stay_key"), F.col("stay.number").alias("stay_number")))

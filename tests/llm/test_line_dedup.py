@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from larkspur.llm import line_dedup as ld
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -111,3 +112,64 @@ def test_crowd_that_shares_a_passage(spark):
     want = brute(rows)
     got = {r["doc_id"] for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {i for i, _ in rows if want[i]}
+
+
+def test_crossing_pairs_equal_all_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        pool = [np.unique(rng.integers(0, 60 if trial % 2 else 5000, rng.integers(1, 40))) for _ in range(4)]
+        sets = []
+        for _ in range(60):
+            base = pool[rng.integers(len(pool))]
+            keep = base[rng.random(len(base)) < rng.choice([0.8, 0.9, 0.97, 1.0])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 10**6, rng.integers(0, 4))])).astype(np.uint64))
+        sets = [x if len(x) else np.array([7], np.uint64) for x in sets]
+        second, of = rng.random(60) < 0.5, rng.integers(0, 25, 60)
+        want, every = set(), set()
+        for i in range(60):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if of[i] != of[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    every.add(frozenset((of[i], of[j])))
+                    if second[i] != second[j]:
+                        want.add(frozenset((of[i], of[j])))
+        for dense in (ld.DENSE, 0, 10**9):
+            with monkeypatch.context() as m:
+                m.setattr(ld, "DENSE", dense)
+                m.setattr(ld, "SLICE", 200)
+                if second.any() and not second.all():
+                    assert {frozenset(p) for p in ld.crossing(sets, second, of, 80).T.tolist()} == want
+                    inner = ld.crossing(sets, None, of, 80)
+                    assert want <= {frozenset(p) for p in inner.T.tolist()} == every
+
+
+def test_recall_in_large_families(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(500)]
+    for length in (18, 24):
+        base, rows = rng.choices(words, k=length), []
+        for _ in range(600):
+            w = list(base)
+            for k in rng.sample(range(length), 2):
+                w[k] = rng.choice(words)
+            rows.append((len(rows), " ".join(w)))
+        want = brute(rows)
+        got = {r["doc_id"] for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        drops = {i for i, _ in rows if not want[i]}
+        missed = len(drops & got)
+        assert not {i for i, _ in rows if want[i]} - got  # none goes that all pairs would keep
+        assert missed <= 0.01 * len(drops), (length, missed, len(drops))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    line = "a line that stands in many documents of this corpus"
+    rows = [(None, line), (3, line + "\nown words of three"), (3, line + "\nown words of three"), (2, line), (None, "another text altogether")]
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, "another text altogether"), (2, line), (3, "own words of three"), (3, "own words of three")]
+
+
+def test_shuffled_sides_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(5), "doc_id long, text string").repartition(3)
+    want = sorted(map(str, ld.dedup(df).collect()))
+    monkeypatch.setattr(ld, "BROADCAST_KEYS", -1)
+    assert sorted(map(str, ld.dedup(df).collect())) == want
