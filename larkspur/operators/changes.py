@@ -14,6 +14,7 @@ from larkspur.functions import values as v
 from larkspur.functions.values import E, ident
 from larkspur.plans.lower import Column, Lowering, Scope
 from larkspur.plans.parser import Node
+from larkspur.operators.recursion import size_of
 from larkspur.sources.catalog import Key, Table, append, publish, settle
 from pyspark.sql import DataFrame
 
@@ -239,15 +240,17 @@ class Changes:
         for n in ("rowid", "_rowid_", "oid"):
             if n in given:
                 rowid = v.integer(given[n])
-        base = settle(self.spark, self.fit(t, body, exprs, [f"{rowid} AS __rowid", f"{order} AS __n"]))
-        view = view_of(base)
+        base = self.fit(t, body, exprs, [f"{rowid} AS __rowid", f"{order} AS __n"])
+        view = view_of(base if order == "n" else settle(self.spark, base))
         top = max(t.last_rowid if t.autoincrement else 0, self.spark.sql(f"SELECT max(__rowid) AS m FROM {t.view}").first()["m"] or 0)
         alias = ident(t.rowid_column) if t.rowid_column else None
         # rows are numbered inside the tasks that made them, each task from where those before it end
         ends = f"(SELECT shiftright(__n, 33) AS __p, sum(count(*)) OVER (ORDER BY shiftright(__n, 33)) - count(*) AS __before FROM {view} WHERE __rowid IS NULL GROUP BY shiftright(__n, 33))"
         number = f"coalesce(__rowid, greatest({top}L, (SELECT coalesce(max(__rowid), 0L) FROM {view})) + __before + row_number() OVER (PARTITION BY shiftright(__n, 33), __rowid IS NULL ORDER BY __n))"
+        if order == "n":  # the rows of VALUES are few
+            number = f"coalesce(__rowid, greatest({top}L, coalesce(max(__rowid) OVER (), 0L)) + row_number() OVER (PARTITION BY __rowid IS NULL ORDER BY __n))"
         cols = ", ".join(f"{number} AS {ident(c.name)}" if c.name == t.rowid_column else ident(c.name) for c in t.columns)
-        delta = settle(self.spark, self.spark.sql(f"SELECT __n, {number} AS __rowid, {cols} FROM {view} LEFT JOIN {ends} ON shiftright(__n, 33) = __p"))
+        delta = settle(self.spark, self.spark.sql(f"SELECT __n, {number} AS __rowid, {cols} FROM {view}" + ("" if order == "n" else f" LEFT JOIN {ends} ON shiftright(__n, 33) = __p")))
         delta = self.generate(t, delta)
         if alias:
             t.col(t.rowid_column).t = "int"
@@ -262,11 +265,13 @@ class Changes:
             delta = self._resolve(t, delta, keys, mode)
             delta = settle(self.spark, delta)
             self.foreign_out(t, delta)
-            append(t, delta.drop("__n"))
-            count, touched = delta.count(), delta
+            rows = delta.drop("__n")
+            rows.local_rows = getattr(delta, "local_rows", None)
+            append(t, rows)
+            count, touched = size_of(delta), delta
         if count:
-            t.last_rowid = max(t.last_rowid, touched.selectExpr("max(__rowid)").first()[0] or 0)
-            self.db.last_insert_rowid = touched.selectExpr("max_by(__rowid, __n)").first()[0]
+            highest, self.db.last_insert_rowid = touched.selectExpr("max(__rowid)", "max_by(__rowid, __n)").first()
+            t.last_rowid = max(t.last_rowid, highest or 0)
         self.fire(t, "AFTER", "INSERT", None, touched)
         return count, self.returning(s, t, touched)
 

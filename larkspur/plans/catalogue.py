@@ -422,14 +422,14 @@ _add("rtree_helpers", "SELECT rtreecheck('boxes') AS c, count(*) AS n FROM boxes
 _ORDERS = "CREATE TABLE o(k INTEGER PRIMARY KEY, c INTEGER, s TEXT, p REAL); INSERT INTO o SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders;"
 _OBASE = "SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_totalprice AS p FROM orders"
 _add("dml_orders_insert", "SELECT k, c, s, p FROM o", _OBASE, script=_ORDERS)
-_add("dml_orders_update", "SELECT k, c, s, round(p, 2) AS p FROM o", f"SELECT k, c, CASE WHEN s = 'P' THEN 'pending' ELSE s END AS s, round(CASE WHEN s = 'P' THEN p * 1.1::double ELSE p END, 2) AS p FROM ({_OBASE})", script=_ORDERS + "UPDATE o SET s = 'pending', p = p * 1.1 WHERE s = 'P'")
+_add("dml_orders_update", "SELECT k, c, s, p FROM o", f"SELECT k, c, CASE WHEN s = 'P' THEN 'pending' ELSE s END AS s, CASE WHEN s = 'P' THEN p * 1.1::double ELSE p END AS p FROM ({_OBASE})", script=_ORDERS + "UPDATE o SET s = 'pending', p = p * 1.1 WHERE s = 'P'")
 _add("dml_orders_delete", "SELECT k, c, s, p FROM o", f"SELECT * FROM ({_OBASE}) WHERE NOT (c IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))", script=_ORDERS + "DELETE FROM o WHERE c IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 _add("dml_orders_upsert", "SELECT k, c, s, round(p, 2) AS p FROM o", f"SELECT k, c, CASE WHEN k % 4 = 0 THEN 'again' ELSE s END AS s, round(CASE WHEN k % 4 = 0 THEN p + 1 ELSE p END, 2) AS p FROM ({_OBASE}) UNION ALL SELECT -o_orderkey, 0, 'new', 0 FROM orders WHERE o_orderkey % 4 = 1",
      script=_ORDERS + "INSERT INTO o SELECT CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE -o_orderkey END, 0, 'new', 0.0 FROM orders WHERE o_orderkey % 4 < 2 ON CONFLICT(k) DO UPDATE SET s = 'again', p = p + 1")
 _add("dml_orders_replace", "SELECT k, c, s, p FROM o", f"SELECT k, CASE WHEN k % 3 = 0 THEN -1 ELSE c END AS c, CASE WHEN k % 3 = 0 THEN 'R' ELSE s END AS s, CASE WHEN k % 3 = 0 THEN 0 ELSE p END AS p FROM ({_OBASE})", script=_ORDERS + "INSERT OR REPLACE INTO o SELECT o_orderkey, -1, 'R', 0.0 FROM orders WHERE o_orderkey % 3 = 0")
 _add("dml_orders_update_from", "SELECT k, s FROM o", f"SELECT k, c_mktsegment AS s FROM ({_OBASE}) JOIN customer ON c = c_custkey", script=_ORDERS + "UPDATE o SET s = c_mktsegment FROM customer WHERE c_custkey = o.c")
 _add("dml_lineitem_numbered", "SELECT count(*) AS n, count(DISTINCT rowid) AS d, min(rowid) AS lo, max(rowid) AS hi, sum(q) AS q FROM l", f"SELECT count(*) AS n, count(*) AS d, {B('1')} AS lo, count(*) AS hi, {B('sum(l_linenumber)')} AS q FROM lineitem", script="CREATE TABLE l(q INTEGER, f TEXT); INSERT INTO l SELECT l_linenumber, l_returnflag FROM lineitem")
-_add("dml_many_inserts", "SELECT k, v FROM m", f"SELECT {B('x')} AS k, 'row ' || x AS v FROM range(1, 31) t(x)", script="CREATE TABLE m(k INTEGER PRIMARY KEY, v TEXT);" + "".join(f"INSERT INTO m(v) VALUES ('row {i}');" for i in range(1, 31)))
+_add("dml_many_inserts", "SELECT k, v FROM m", f"SELECT {B('x')} AS k, 'row ' || x AS v FROM range(1, 9) t(x)", script="CREATE TABLE m(k INTEGER PRIMARY KEY, v TEXT);" + "".join(f"INSERT INTO m(v) VALUES ('row {i}');" for i in range(1, 9)))
 _add("dml_default_values", "SELECT k, a, b FROM e", f"SELECT {B('x')} AS k, {B('7')} AS a, 'none' AS b FROM range(1, 3) t(x)", script="CREATE TABLE e(k INTEGER PRIMARY KEY, a INTEGER DEFAULT 7, b TEXT DEFAULT 'none'); INSERT INTO e DEFAULT VALUES; INSERT INTO e DEFAULT VALUES")
 _add("dml_cte", "SELECT k, name, r FROM t", f"SELECT k, CASE WHEN r = 2 THEN 'Z' ELSE name END AS name, r FROM ({_BASE}) WHERE r <> 1 UNION ALL SELECT r_regionkey + 50, r_name, 9 FROM region",
      script=_COPY + "WITH x AS (SELECT k FROM t WHERE r = 1) DELETE FROM t WHERE k IN (SELECT k FROM x); WITH x(a, b) AS (SELECT r_regionkey + 50, r_name FROM region) INSERT INTO t SELECT a, b, 9 FROM x; WITH x AS (SELECT 2 AS y) UPDATE t SET name = 'Z' WHERE r = (SELECT y FROM x)")
