@@ -148,13 +148,14 @@ def from_list(name: str, values: str, x: E | None, xs: list[E]) -> E:
 IN_PIECES = {"count", "sum", "avg", "total", "min", "max"}
 
 
-def in_pieces(name: str, xs: list[E], pieces: list[str], filt: str | None) -> E:
-    """An aggregate over a frame that is cut into pieces, each a window of its own, so that no frame is collected."""
+def in_pieces(name: str, xs: list[E], pieces: list[str | None], filt: str | None) -> E:
+    """An aggregate over a frame that is cut into pieces, each a window of its own or None for the row itself, so that no frame is collected."""
     x = xs[0] if xs else None
 
     def over(f: str, sql: str) -> list[str]:
         item = f"CASE WHEN {filt} THEN {sql} END" if filt else sql
-        return [f"{f}({item}) OVER {p}" for p in pieces]
+        alone = f"CAST(({item}) IS NOT NULL AS BIGINT)" if f == "count" else f"({item})"
+        return [alone if p is None else f"{f}({item}) OVER {p}" for p in pieces]
 
     def total(parts: list[str], zero: str) -> str:
         return " + ".join(f"coalesce({p}, {zero})" for p in parts) or zero

@@ -209,7 +209,7 @@ def kind(x) -> str:
     if x is None or x is True or x is False:
         return {None: "null", True: "true", False: "false"}[x]
     if isinstance(x, Num):
-        return "real" if re.search("[.eE]", x) else "integer"
+        return "real" if "." in x or "e" in x or "E" in x else "integer"
     return "text" if isinstance(x, str) else "object" if isinstance(x, Obj) else "array"
 
 
@@ -357,7 +357,7 @@ def jsonb(x) -> bytes:
     if x is None or x is True or x is False:
         return bytes([{None: 0, True: 1, False: 2}[x]])
     if isinstance(x, Num):
-        body, code = x.encode(), 5 if re.search("[.eE]", x) else 3
+        body, code = x.encode(), 5 if "." in x or "e" in x or "E" in x else 3
     elif isinstance(x, str):
         raw = json.dumps(x, ensure_ascii=False)[1:-1]
         body, code = raw.encode(), 7 if raw == x else 8
@@ -421,7 +421,7 @@ def rows(x, root: str, tree: bool):
     """json_each and json_tree: (key, value, type, atom, id, parent, fullkey, path); ids are JSONB offsets."""
 
     def name(k):
-        return f".{k}" if re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", k) else f".{json.dumps(k, ensure_ascii=False)}"
+        return f".{k}" if k.isascii() and k.isalnum() and k[0].isalpha() else f".{json.dumps(k, ensure_ascii=False)}"
 
     def header(y):
         b = jsonb(y)

@@ -481,8 +481,9 @@ class Lowering:
         sign = -1 if kind.endswith("PRECEDING") else 1
         return 0 if kind == "CURRENT" else sign * float("inf") if e is None else sign * self.constant(e, "frame")
 
-    def _pieces(self, f, part: list[str], order: list[str], g: str, k: str) -> list[str] | None:
-        """The windows that together are a frame without what EXCLUDE names; None where the frame may hold a part of the peers only."""
+    def _pieces(self, f, part: list[str], order: list[str], g: str, k: str) -> list[str | None] | None:
+        """The windows that together are a frame without what EXCLUDE names, None among them for the row itself; None where the frame may
+        hold a part of the peers only."""
         lo, hi = self._place(f.lo), self._place(f.hi)
         inf = float("inf")
 
@@ -508,7 +509,7 @@ class Lowering:
             return out
         peers, by = [*part, g], [f"{k} ASC"]
         if f.exclude == "TIES":
-            return [*out, window(peers, by, "ROWS", 0, 0)]
+            return [*out, None]
         return [*out, window(peers, by, "ROWS", -inf, -1), window(peers, by, "ROWS", 1, inf)]
 
     def _bound(self, b, mode) -> str:
