@@ -65,3 +65,13 @@ def test_components(spark):
     edges = [(a, b) for a, b in pairs if b is not None and a != b]
     root = local_roots(1200, np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
     assert got == {int(x): int(root[x]) for e in edges for x in e}
+
+
+def test_long_vectors_and_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=4000)
+    vectors = [base, base + rng.normal(size=4000) * 0.05, rng.normal(size=4000), base * 3]
+    rows = [(i, v.tolist(), "a", "x", 9, 1.5) for i, v in enumerate(vectors)] + [(9, [1.0], "a", "x", 9, 1.5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, rep string, weight int, angle double")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in ed.near_duplicates(df).collect())
+    assert got == [(0, 2, 0, True), (1, 2, 0, False), (2, 0, 2, True), (3, 2, 0, False), (9, 0, 9, True)]

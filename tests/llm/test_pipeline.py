@@ -117,3 +117,21 @@ def test_run_equals_stages(spark, tmp_path):
     spark.createDataFrame([tuple(r.values()) for r in corpus()], schema).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_an_empty_table_and_extra_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, component string, __text string, dropped string, weight double, n int"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choices(words, k=80)), "en", f"s{i % 2}", 1, "k", "c", "t", "d", 0.5, 7) for i in range(40)]
+    rows += [(100, rows[3][1], "en", "s0", 1, "k", "c", "t", "d", 0.5, 7), (None, None, None, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/some/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == columns
+    assert {r["doc_id"] for r in docs.select("doc_id", "key", "__text").collect()} <= set(range(40))
+    assert 0 < corpus_pipeline.run(spark, f"{tmp_path}/some").count() <= 40
