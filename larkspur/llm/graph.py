@@ -36,16 +36,28 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def _stars(batches):
+    """(node, component) of all nodes on the edges of all batches."""
+    held = [[np.asarray(batch.column(i)) for i in (0, 1)] for batch in batches]
+    u, v = (np.concatenate([np.zeros(0, np.int64), *(h[i] for h in held)]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = local_roots(len(nodes), at[: len(u)], at[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, in_task: int = 0) -> DataFrame:
     """(node, component) for each node on an edge between different nodes: component is the smallest node reachable.
 
     Large-star and small-star steps alternate until each component is a star around its smallest node. Each step
     is a partial minimum by node and a join on the node, so a node with very many edges is never held in one task.
-    Edges with a null end and loops are ignored; repeated edges do no harm.
+    Edges with a null end and loops are ignored; repeated edges do no harm. Up to in_task edges, with those inside a batch
+    reduced to a forest, one task takes all.
     """
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = ends.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
     e = cut(e.mapInArrow(_contract, "u long, v long").distinct())
+    if in_task and e.count() <= in_task:
+        return e.coalesce(1).mapInArrow(_stars, "node long, component long")
     for _ in range(most_rounds):
         both = e.union(e.select("v", "u"))
         low = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).withColumn("m", F.least("k", "m"))

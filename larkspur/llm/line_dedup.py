@@ -30,6 +30,8 @@ VALUES, BANDS, ROWS = 128, 20, 6
 PERCENT = 80
 #: Keys and numbers that are sent to every executor at most.
 BROADCAST_KEYS = 2_000_000
+#: Links that one task joins into components; more are joined in rounds.
+EDGES_IN_TASK = 500_000
 #: Lines of a crowded band that a task compares with as many others.
 BLOCK = 512
 _U = np.uint64
@@ -39,9 +41,23 @@ _TOKENS32, _FACTORS32 = (_TOKENS >> _U(32)).astype(np.uint32), (_FACTORS >> _U(3
 _SALTS = tb.mix(np.arange(1, VALUES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, end, text, number, hash) of each line with a word; start and end are without outer white space."""
-    low = tb.lowered(buf)
+def line_hashes(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span, a function of its bytes alone, eight of which are taken at a time."""
+    if not len(begin):
+        return np.zeros(0, _U)
+    size = end - begin
+    words = (size + 7) >> 3
+    first = np.cumsum(words) - words
+    place = np.arange(words.sum()) - np.repeat(first, words)
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view(_U), (len(low) + 1,), (1,))
+    word = eight[np.repeat(begin, words) + 8 * place]
+    word[first + words - 1] &= ~_U(0) >> (_U(8) * (8 * words - size).astype(_U))
+    return tb.mix(np.add.reduceat(tb.mix(word ^ ((place + 1).astype(_U) * _U(0x9E3779B97F4A7C15))), first) + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def lines_of(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, text, number, hash) of each line with a word; start and end are without outer white space. low is in lower case."""
     starts, ends, _ = tb.word_spans(low, off)
     breaks = np.flatnonzero(low == 10)
     begin = np.concatenate([off[:-1], breaks + 1])
@@ -55,7 +71,7 @@ def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     text = text[some]
     number = np.searchsorted(breaks, begin[some]) - np.searchsorted(breaks, off[text])
     begin, end = starts[first[some]], ends[last[some] - 1]
-    return begin, end, text, number, tb.spans(tb.prefix(low), begin, end)
+    return begin, end, text, number, line_hashes(low, begin, end)
 
 
 def _points(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +142,11 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, percent: int = PERCENT)
     full, salts = np.uint32(2**32 - 1), (_SALTS >> _U(32)).astype(np.uint32)
     signed, spans = [np.zeros((0, VALUES), np.uint32)], [np.zeros(0, np.int64)]
     for b in np.unique(np.concatenate([least, most])):
-        mine = np.flatnonzero((least <= b) & (b <= most))
+        some = (least <= b) & (b <= most)
+        mine = np.flatnonzero(some)
         length = size[mine]
         starts = np.cumsum(length) - length
-        h = hashes[np.repeat(offsets[mine] - starts, length) + np.arange(length.sum())]
+        h = hashes[np.repeat(some, size)]
         count = len(mine)
         row = np.repeat(np.arange(count) * b, length) if b > 1 else None
         part = np.empty((count, VALUES), np.uint32)
@@ -183,13 +200,14 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def sign(batches):
         for batch in batches:
             for _, buf, off in tb.chunks(batch.column(0)):
-                begin, end, _, _, hashes = lines_of(buf, off)
+                low = tb.lowered(buf)
+                begin, end, _, _, hashes = lines_of(low, off)
                 ids, pick, times = np.unique(hashes, return_index=True, return_counts=True)
                 if not len(ids):
                     continue
                 place = np.argsort(pick)
                 ids, pick, times = ids[place], pick[place], times[place]
-                signed, span = signatures(*char_shingles(tb.lowered(buf), begin[pick], end[pick], np.uint32), percent)
+                signed, span = signatures(*char_shingles(low, begin[pick], end[pick], np.uint32), percent)
                 keys, ids, more = band_keys(signed), ids[span], times[span] > 1
                 keys, ids = np.concatenate([keys.ravel(), keys[more, 0]]), np.concatenate([np.repeat(ids, BANDS), ids[more]])
                 order = np.argsort(keys)
@@ -208,6 +226,12 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             keys.append(_unpack40(raw[: 5 * n]))
             ids.append(raw[5 * n :].copy().view("<u8"))
         keys, ids = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        met = np.zeros(len(keys) + 1, bool)  # most keys are of one line alone
+        met[1:-1] = keys[1:] == keys[:-1]
+        met = met[1:] | met[:-1]
+        keys, ids = keys[met], ids[met]
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
         new = np.ones(len(keys), bool)
@@ -230,21 +254,30 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return signed.groupBy("bucket").applyInArrow(meet, "a long, b long, crowd boolean").distinct()
 
 
+def shingle_sets(texts: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The set of shingle hashes of each text, sorted."""
+    sets = []
+    for _, buf, off in tb.chunks(texts):
+        h, cuts = char_shingles(buf, off[:-1], off[1:])
+        new = np.ones(len(h), bool)
+        ends = cuts.tolist()
+        for i, j in zip(ends, ends[1:]):
+            h[i:j].sort()
+        new[1:] = h[1:] != h[:-1]
+        new[cuts[:-1]] = True
+        for i, j in zip(ends, ends[1:]):
+            sets.append(h[i:j][new[i:j]])
+    return sets
+
+
 def similar(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of pairs(a, b, text_a, text_b) whose shingle sets are similar enough."""
 
     def compare(batches):
         for batch in batches:
-            known: dict[str, np.ndarray] = {}
             sides = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("text_a", "text_b")]
             fresh = list(dict.fromkeys(sides[0] + sides[1]))
-            at = 0
-            for _, buf, off in tb.chunks(pa.array(fresh, pa.string())):
-                h, cuts = char_shingles(buf, off[:-1], off[1:])
-                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    x = np.sort(h[i:j])
-                    known[fresh[at]] = x[np.concatenate([[True], x[1:] != x[:-1]])]
-                    at += 1
+            known = dict(zip(fresh, shingle_sets(pa.array(fresh, pa.string()))))
             ok = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(*sides)):
                 x, y = known[a], known[b]
@@ -285,17 +318,39 @@ BATCH, SLICE = 4096, 1 << 20
 DENSE = 8
 
 
+def _unruled(i: np.ndarray, j: np.ndarray, size: np.ndarray, owner: np.ndarray, column: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that maps of the sets leave: a bit that only one set has stands for an element or more that the other lacks."""
+    if not len(i):
+        return i, j
+    words = 1 << int(np.clip(np.ceil(np.log2(3 * size.mean() / 64 + 1)), 1, 8))
+    bit = tb.mix(column.astype(_U)) & _U(64 * words - 1)
+    maps = np.zeros(len(size) * words, _U)
+    np.bitwise_or.at(maps, owner * words + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+    maps, ok = maps.reshape(-1, words), np.zeros(len(i), bool)
+    for at in range(0, len(i), SLICE // words):
+        a, b = i[at : at + SLICE // words], j[at : at + SLICE // words]
+        x, y = maps[a], maps[b]
+        differ = x ^ y
+        most = np.minimum(*(size[k] - np.bitwise_count(differ & z).sum(axis=1, dtype=np.int64) for k, z in ((a, x), (b, y))))
+        ok[at : at + len(a)] = (100 + percent) * most >= percent * (size[a] + size[b])
+    return i[ok], j[ok]
+
+
 def crossing(sets: list[np.ndarray], second: np.ndarray | None, of: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of components (of) that have similar sets, one of either side where second says which sets are on the other side.
 
     Two similar sets share a shingle of each one's head, in an order with the rarest first, and have behind it all that they share, which
-    must reach percent / (100 + percent) of their sizes together. Only pairs that pass are compared.
+    must reach percent / (100 + percent) of their sizes together. Only pairs that pass, and that maps of the sets don't rule out, are compared.
     """
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((column, times[column], owner))
-    column = column[order]
+    rarest = np.argsort(times, kind="stable")
+    rank, step = np.empty(len(times), np.int64), len(times)
+    rank[rarest] = np.arange(step)
+    held = owner * step + rank[column]
+    held.sort()
+    column, times = held - owner * step, times[rarest]
     n, left = size[owner], size[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size))
     shared, most = times[column] > 1, (100 + percent) * left // percent - n  # most: the largest set that may share enough from here on
     asks, lists = np.flatnonzero(shared & (100 * left >= percent * n)), np.flatnonzero(shared & (most >= n))
@@ -320,15 +375,14 @@ def crossing(sets: list[np.ndarray], second: np.ndarray | None, of: np.ndarray,
         found.append(np.unique(np.maximum(i, j)[ok] * len(sets) + np.minimum(i, j)[ok]))
         at = stop
     i, j = np.divmod(np.unique(np.concatenate(found)), len(sets))
+    i, j = _unruled(i, j, size, owner, column, percent)
     sides = (np.arange(len(sets)),) * 2 if second is None else (np.flatnonzero(~second), np.flatnonzero(second))
     if DENSE * len(i) > len(sides[0]) * len(sides[1]):
         one, two = sides
         i, j = np.nonzero(_alike([sets[x] for x in one], [sets[x] for x in two], percent) & (of[one][:, None] != of[two][None, :]))
         i, j = one[i], two[j]
     elif len(i):
-        step = int(column.max()) + 1
-        held, start, ok = owner * step + column, np.cumsum(size) - size, np.zeros(len(i), bool)
-        held.sort()
+        start, ok = np.cumsum(size) - size, np.zeros(len(i), bool)
         ends, at = np.cumsum(size[j]), 0
         while at < len(i):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
@@ -372,16 +426,7 @@ def joined_crowds(crowds: DataFrame, parts: DataFrame, texts: DataFrame, percent
     members = together.union(dealt).join(texts, "line").select("unit", "block", "sides", "component", "line_text")
 
     def compare(rows: pa.Table) -> pa.Table:
-        sets = []
-        for _, buf, off in tb.chunks(rows.column("line_text")):
-            h, cuts = char_shingles(buf, off[:-1], off[1:])
-            text = np.repeat(np.arange(len(off) - 1), np.diff(cuts))
-            order = np.lexsort((h, text))
-            h, text = h[order], text[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            h, text = h[new], text[new]
-            sets += np.split(h, np.searchsorted(text, np.arange(1, len(off) - 1)))
+        sets = shingle_sets(rows.column("line_text"))
         side, of = np.asarray(rows.column("block")), np.asarray(rows.column("component"))
         pair = crossing(sets, side != side[0] if rows.column("sides")[0].as_py() else None, of, percent)
         return pa.table({"a": pair[0], "b": pair[1]})
@@ -389,23 +434,38 @@ def joined_crowds(crowds: DataFrame, parts: DataFrame, texts: DataFrame, percent
     found = cut(members.groupBy("unit").applyInArrow(compare, "a long, b long"))
     if not found.limit(1).count():
         return parts
-    up = cut(components(found).withColumnRenamed("component", "to"))
+    up = cut(components(found, in_task=EDGES_IN_TASK).withColumnRenamed("component", "to"))
     alone = up.select(F.col("node").alias("line"), F.col("node").alias("component")).join(parts, "line", "left_anti")
     every = parts.union(alone)
     return cut(every.join(up, every["component"] == up["node"], "left").select("line", F.coalesce("to", "component").alias("component")))
 
 
-def _places(batches):
-    """(line, id, key, number, line_text) of each line."""
-    for batch in batches:
-        for first, buf, off in tb.chunks(batch.column(1)):
-            begin, end, text, number, hashes = lines_of(buf, off)
-            at = pa.array(text + first)
-            low = tb.lowered(buf).tobytes()
-            lines = pa.array([low[i:j] for i, j in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), batch.column(0).take(at), batch.column(2).take(at), pa.array(number), lines], names=["line", "id", "key", "number", "line_text"]
-            )
+def _places(among=None):
+    """Gives (line, id, key, number, line_text) of each line, or of those whose hashes are in the broadcast among.
+
+    Of equal lines close to each other one has the text, the others null.
+    """
+
+    def places(batches):
+        for batch in batches:
+            for first, buf, off in tb.chunks(batch.column(1)):
+                low = tb.lowered(buf)
+                begin, end, text, number, hashes = lines_of(low, off)
+                hashes = hashes.view(np.int64)
+                if among is not None:
+                    known = among.value
+                    some = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
+                    begin, end, text, number, hashes = (x[some] for x in (begin, end, text, number, hashes))
+                lines, raw = np.full(len(hashes), None, object), low.tobytes()
+                once = np.unique(hashes, return_index=True)[1]
+                lines[once] = [raw[i:j] for i, j in zip(begin[once].tolist(), end[once].tolist())]
+                at = pa.array(text + first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes), batch.column(0).take(at), batch.column(2).take(at), pa.array(number), pa.array(lines, pa.binary()).cast(pa.string())],
+                    names=["line", "id", "key", "number", "line_text"],
+                )
+
+    return places
 
 
 def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,15 +479,18 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     pairs, crowds = met.where("not crowd").drop("crowd"), met.where("crowd").drop("crowd")
     ends = cut(pairs.select(F.col("a").alias("line")).union(pairs.where("a <> b").select("b")).distinct())
     small = ends.count() <= BROADCAST_KEYS
-    places = rows.select("id", "text", "key").mapInArrow(_places, "line long, id long, key long, number long, line_text string")
-    places = cut(places.join(F.broadcast(ends) if small else ends, "line", "left_semi"))
+    among = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(ends.toArrow().column(0)))) if small else None
+    places = rows.select("id", "text", "key").mapInArrow(_places(among), "line long, id long, key long, number long, line_text string")
+    places = cut(places if small else places.join(ends, "line", "left_semi"))
+    if small:
+        among.destroy()
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "number")
     seen = cut(places.groupBy("line").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("times"), F.min("line_text").alias("line_text")))
     texts = seen.select("line", "line_text")
     first = texts.select(F.col("line").alias("a"), F.col("line_text").alias("text_a"))
     second = texts.select(F.col("line").alias("b"), F.col("line_text").alias("text_b"))
     linked = cut(similar(pairs.where("a <> b").join(first, "a").join(second, "b"), percent))
-    parts = cut(components(linked).select(F.col("node").alias("line"), "component"))
+    parts = cut(components(linked, in_task=EDGES_IN_TASK).select(F.col("node").alias("line"), "component"))
     parts = joined_crowds(crowds, parts, texts, percent)
     lines = seen.join(parts, "line", "left").where("times > 1 or component is not null").select("line", "lo", F.coalesce("component", "line").alias("component"))
     lines = cut(lines)

@@ -20,8 +20,6 @@ _BASE = _U(0x9E3779B97F4A7C15 | 5)
 _INV = _U(pow(int(_BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -57,7 +55,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
-    return _LOWER[buf]
+    return buf | ((buf - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
 
 def _power(name: str, base, n: int) -> np.ndarray:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 from larkspur.llm import line_dedup as ld
+from larkspur.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -173,3 +174,34 @@ def test_shuffled_sides_give_the_same(spark, monkeypatch):
     want = sorted(map(str, ld.dedup(df).collect()))
     monkeypatch.setattr(ld, "BROADCAST_KEYS", -1)
     assert sorted(map(str, ld.dedup(df).collect())) == want
+
+
+def test_maps_rule_out_pairs_and_no_similar_one():
+    rng, size = np.random.default_rng(8), 300
+    base = rng.integers(0, 10**6, 5 * size)
+    sets = [np.unique(base[a : a + size]) for a in (0, 10, 20, 30, 100, 150, 2 * size, 3 * size)]
+    n = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    i, j = np.nonzero(np.tri(len(sets), k=-1, dtype=bool))
+    left = set(zip(*(x.tolist() for x in ld._unruled(i, j, n, np.repeat(np.arange(len(sets)), n), column, 80))))
+    alike = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(alike) == 6 and alike <= left and not any((a, b) in left for a in (6, 7) for b in range(4))
+
+
+def test_hash_of_a_line_follows_its_bytes_alone():
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("ab é漢", k=rng.randint(1, 40))) for _ in range(400)]
+    apart = [int(ld.lines_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[4][0]) if WORD.search(t) else None for t in texts]
+    raw = [t.encode() for t in texts]
+    together = ld.lines_of(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert together[4].tolist() == [a for a in apart if a is not None]
+    lines = {t.strip(" ") for t in texts if WORD.search(t)}
+    assert len(set(together[4].tolist())) == len(lines)
+
+
+def test_components_in_one_task_are_those_of_the_rounds(spark):
+    rng = random.Random(11)
+    df = spark.createDataFrame([(rng.randrange(400), rng.choice([None, *range(400)])) for _ in range(300)] + [(-(10**12), 399)], "a long, b long").repartition(3)
+    want = sorted(map(tuple, components(df).collect()))
+    assert sorted(map(tuple, components(df, in_task=1000).collect())) == want
+    assert components(df.limit(0), in_task=1000).count() == 0
