@@ -230,3 +230,19 @@ def test_transactions_and_snapshots(spark, tmp_path):
 def test_errors(spark, sql):
     with pytest.raises(SqlError):
         Database(spark).query(sql)
+
+
+def test_first_row_of_a_correlated_subquery(spark):
+    db, lite = Database(spark), sqlite3.connect(":memory:")
+    rows = [(i, i % 7, i * 37 % 11, "abC"[i % 3]) for i in range(60)] + [(60, None, 1, "a"), (61, 3, None, None)]
+    for run in (db.exec, lite.executescript):
+        run("CREATE TABLE c(k INTEGER PRIMARY KEY); CREATE TABLE o(id INTEGER PRIMARY KEY, k INTEGER, p INTEGER, s TEXT)")
+        run("INSERT INTO c VALUES " + ", ".join(f"({k})" for k in range(9)))
+        run("INSERT INTO o VALUES " + ", ".join(str(r).replace("None", "NULL") for r in rows))
+    for tail in ("ORDER BY p DESC, id LIMIT 1", "ORDER BY p, id DESC", "ORDER BY s COLLATE NOCASE DESC, p * 2, id LIMIT 1 OFFSET 2", "ORDER BY 1 DESC LIMIT 5", "ORDER BY p LIMIT 0"):
+        sql = f"SELECT k, (SELECT id FROM o WHERE o.k = c.k {tail}) FROM c ORDER BY 1"
+        df = db.query(sql)
+        assert [tuple(r) for r in df.collect()] == lite.execute(sql).fetchall(), tail
+        if "p DESC" in tail:  # the rows are numbered in the order asked for, not in that of their arrival
+            windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number()" in x and "Window" in x]
+            assert windows and all("DESC" in x for x in windows)
