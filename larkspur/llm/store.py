@@ -29,11 +29,12 @@ def cut(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     It ends the lineage: what follows is recomputed from these files when an executor is lost. The files go when the session's
-    process ends, unless drop() has deleted them before.
+    process ends, unless drop() has deleted them before. No mark of success is written: nobody asks for it, and in a local store each file
+    starts two processes (chmod, for it and its checksum).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
+    df.write.options(**{"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"} | (options or {})).parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
