@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from larkspur.llm import bpe
+from larkspur.llm import textbytes as tb
 from larkspur.llm.store import free_name, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ class Codec:
         return raw.decode("utf-8", "replace").encode()
 
 
-@lru_cache(2)
+@tb.memo
 def codec(path: str) -> Codec:
     return Codec(path)
 
@@ -83,7 +83,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), "<i4"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tb.lean(run, codec), schema)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -100,7 +100,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "d
             texts = [c.decode(x.as_py() or []).decode() for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tb.lean(run, codec), schema)
 
 
 def digest(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -127,7 +127,7 @@ def digest(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
             found = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tb.lean(run, codec), schema)
 
 
 def query(spark, sf_dir):

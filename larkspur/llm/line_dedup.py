@@ -250,7 +250,7 @@ def candidates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         a, b = (np.concatenate([x, again, y]).view(np.int64) for x, y in zip(pair, (np.repeat(name, size[wide]), ids[member])))
         return pa.table({"a": a, "b": b, "crowd": np.arange(len(a)) >= len(a) - len(member)})
 
-    signed = docs.select("text").mapInArrow(sign, "bucket int, blob binary")
+    signed = docs.select("text").mapInArrow(tb.lean(sign), "bucket int, blob binary")
     return signed.groupBy("bucket").applyInArrow(meet, "a long, b long, crowd boolean").distinct()
 
 
@@ -288,7 +288,7 @@ def similar(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tb.lean(compare), "a long, b long")
 
 
 def _alike(sets: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -480,7 +480,7 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     ends = cut(pairs.select(F.col("a").alias("line")).union(pairs.where("a <> b").select("b")).distinct())
     small = ends.count() <= BROADCAST_KEYS
     among = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(ends.toArrow().column(0)))) if small else None
-    places = rows.select("id", "text", "key").mapInArrow(_places(among), "line long, id long, key long, number long, line_text string")
+    places = rows.select("id", "text", "key").mapInArrow(tb.lean(_places(among)), "line long, id long, key long, number long, line_text string")
     places = cut(places if small else places.join(ends, "line", "left_semi"))
     if small:
         among.destroy()
@@ -542,7 +542,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_
     rest = [n for n in names if n != t]
     rows = joined.select(t, "dropped", F.col("dropped").isNotNull().alias("__lost"), *rest)
     schema = rows.drop("dropped").schema.add("__before", "long").add("__left", "boolean")
-    back = rows.mapInArrow(_without, schema).where(~F.col("__lost") | F.col("__left"))
+    back = rows.mapInArrow(tb.lean(_without), schema).where(~F.col("__lost") | F.col("__left"))
     return back.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 
@@ -552,7 +552,7 @@ def query(spark, sf_dir):
     joined, (i, t) = _joined(docs, PERCENT, "doc_id", "text")
     kept = joined.select(t, "dropped", i, F.coalesce("dropped", F.array().cast("array<bigint>")).alias("d"))
     schema = kept.drop("dropped").schema.add("__before", "long").add("__left", "boolean")
-    return kept.mapInArrow(_without, schema).select(
+    return kept.mapInArrow(tb.lean(_without), schema).select(
         F.col(i).alias("doc_id"), F.col("__before").alias("n_lines"), F.size("d").cast("long").alias("n_dropped"),
         F.col("d").alias("dropped"), F.sha2(F.coalesce(F.col(t), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

@@ -189,7 +189,7 @@ def sieve(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         near = (n > 0) & (100 * shared >= percent * n)
         return head.drop_columns(["shared"]).append_column("near", pa.array(near))
 
-    asked = docs.select("id", "text", "key").mapInArrow(ask, "bucket int, chunk long, kind int, blob binary")
+    asked = docs.select("id", "text", "key").mapInArrow(tb.lean(ask), "bucket int, chunk long, kind int, blob binary")
     counted = asked.groupBy("bucket").applyInArrow(count, "chunk long, blob binary")
     return counted.groupBy("chunk").applyInArrow(decide, "id long, key long, n long, sig1 long, sig2 long, near boolean")
 
@@ -296,7 +296,7 @@ def links(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_
         survivors = rows.join(F.broadcast(keys), "key", "left_semi")
     else:
         survivors = rows.join(keys, "key", "left_semi")
-    sets = cut(survivors.select("id", "text", "key").mapInArrow(_sets, _SET))
+    sets = cut(survivors.select("id", "text", "key").mapInArrow(tb.lean(_sets), _SET))
     same = ["sig1", "sig2", "n"]
     low = cut(sets.groupBy(*same).agg(F.min("id").alias("rep")))
     members = cut(sets.select("id", *same).join(low, same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
@@ -363,7 +363,7 @@ def _starred(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
             ok = pa.array(_linked(both, *sizes, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b").mapInArrow(compare, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b").mapInArrow(tb.lean(compare), "a long, b long")
 
 
 def _opened(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:

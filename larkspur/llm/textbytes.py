@@ -7,6 +7,9 @@ character. Hashes are 64 bits wide; where two different words or shingles may no
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +26,39 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+_memos: list = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def memo(make):
+    """make with its last two results kept in the worker, until lean() clears them."""
+    _memos.append(lru_cache(2)(make))
+    return _memos[-1]
+
+
+def lean(run, keeps=None):
+    """run, a function of batches, in a worker that has no memos but keeps and that gives memory back to the system before and after.
+
+    A worker serves one operator after the other; without this it holds the most that each of them took.
+    """
+
+    def task(batches):
+        _give_back(keeps)
+        yield from run(batches)
+        _give_back(keeps)
+
+    return task
+
+
+def _give_back(keeps) -> None:
+    for made in _memos:
+        if made is not keeps:
+            made.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     h = h ^ (h >> _U(33))

@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from larkspur.llm import mixing
+from larkspur.llm import bpe_codec, mixing, quality_rules
+from larkspur.llm import textbytes as tb
 
 from tests.llm.test_line_dedup import WORD
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -135,3 +137,37 @@ def test_an_empty_table_and_extra_columns(spark, tmp_path):
         assert docs.columns == columns
     assert {r["doc_id"] for r in docs.select("doc_id", "key", "__text").collect()} <= set(range(40))
     assert 0 < corpus_pipeline.run(spark, f"{tmp_path}/some").count() <= 40
+
+
+def test_workers_give_back_what_other_stages_took(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, "some words of a text " * 40, "s") for i in range(4)], "doc_id long, text string, source string").coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+        from larkspur.llm import bpe_codec
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"held": [bpe_codec.codec.cache_info().currsize] * batch.num_rows})
+
+    assert bpe_codec.digest(docs, path).count() == 4
+    assert [r["held"] for r in docs.mapInArrow(held, "held long").collect()] == [1] * 4  # the next task of this stage has it
+    assert quality_rules.measure(docs).where("n_words > 0").count() == 4
+    assert [r["held"] for r in docs.mapInArrow(held, "held long").collect()] == [0] * 4
+
+
+def test_tasks_trim_what_they_freed():
+    """Freed below a block that stays, memory goes back only when asked for."""
+
+    def size():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def run(batches):
+        blocks = [np.ones(64 << 10, np.uint8) for _ in range(2000)]
+        stay.append(blocks[-1])
+        del blocks
+        yield from batches
+
+    stay, before = [], size()
+    assert list(tb.lean(run)([1, 2])) == [1, 2]
+    assert size() - before < 40 << 20
