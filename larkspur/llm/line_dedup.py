@@ -396,34 +396,56 @@ def crossing(sets: list[np.ndarray], second: np.ndarray | None, of: np.ndarray,
     return np.unique(np.stack([of[i], of[j]]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
 
 
+def taken_together(lines: DataFrame, count: DataFrame) -> DataFrame:
+    """(band, component, line, n, total) of lines in bands, each band's largest component being main: bands of one main are one band, named main, if the square of
+    its lines is no more than the sum of theirs. A line that meets the same others in many bands then meets them once. count(main, n, total) is
+    lines by band and component."""
+    square = F.col("total").cast("double") * F.col("total")
+    apart = count.groupBy("main").agg(F.sum(F.col("n").cast("double") * F.col("total")).alias("apart"))
+    once = cut(lines.select("main", "component", "line").distinct())
+    n = once.groupBy("main", "component").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("main").agg(F.sum("n").alias("total")).join(apart, "main").where(square <= F.col("apart")).drop("apart")
+    n = cut(n.join(total, "main"))
+    one = once.join(n, ["main", "component"]).select(F.col("main").alias("band"), "component", "line", "n", "total")
+    return cut(one.union(lines.join(n.select("main").distinct(), "main", "left_anti").select("band", "component", "line", "n", "total")))
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """(unit, block, sides, component, line): the blocks of each large band, each with each other."""
+    own = F.xxhash64("component", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / BLOCK)))
+    shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("total") / BLOCK))
+    large = large.withColumn("block", F.when(F.col("n") >= BLOCK, own).otherwise(shared)).select("band", "block", "component", "line")
+    blocks = large.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = blocks.select("band", *(F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")))
+    work = blocks.join(other, "band").where("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    work = work.select(F.xxhash64("band", "block", "block2").alias("unit"), "band", F.expr("block <> block2").alias("sides"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return large.join(work, ["band", "block"]).select("unit", "block", "sides", "component", "line")
+
+
 def joined_crowds(crowds: DataFrame, parts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """parts(line, component) joined by the similar pairs of different components in each band of crowds(a, b).
 
     Small bands that have their smallest line in common are taken together, a batch of them in a task, so that a line that meets others in many bands is read once.
-    The lines of a large band are dealt into blocks, of one large component or of several small ones; each block meets each other, but
-    for two blocks of one component.
+    Large bands that have their largest component in common are taken as one, if that leaves fewer pairs. The lines of a large band are dealt into blocks,
+    of one large component or of several small ones; each block meets each other, but for two blocks of one component.
     """
     lines = crowds.select(F.col("a").alias("band"), F.col("b").alias("line")).join(parts, "line", "left")
     lines = cut(lines.withColumn("component", F.coalesce("component", "line")))
     count = lines.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
     total = count.groupBy("band").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("first").alias("first")).where("kinds > 1")
     count = cut(count.drop("first").join(total, "band").drop("kinds"))
-    held = count.agg(F.sum(F.when(F.col("total") <= 2 * BLOCK, F.col("n"))).alias("small"), F.count(F.lit(1)).alias("all")).first()
+    held = count.agg(F.sum(F.when(F.col("total") <= 2 * BLOCK, F.col("n"))).alias("small"), F.max("total").alias("most"), F.count(F.lit(1)).alias("all")).first()
     if not held["all"]:
         return parts
     lines = cut(lines.join(count, ["band", "component"]))
     batches = -(-(held["small"] or 0) // BATCH) or 1
     batch = F.pmod(F.xxhash64("first"), F.lit(batches))
     together = lines.where(F.col("total") <= 2 * BLOCK).select(batch.alias("unit"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("sides"), "component", "line").distinct()
-    own = F.xxhash64("component", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / BLOCK)))
-    shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("total") / BLOCK))
-    large = lines.where(F.col("total") > 2 * BLOCK).withColumn("block", F.when(F.col("n") >= BLOCK, own).otherwise(shared)).select("band", "block", "component", "line")
-    blocks = large.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    other = blocks.select("band", *(F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi")))
-    work = blocks.join(other, "band").where("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
-    work = work.select(F.xxhash64("band", "block", "block2").alias("unit"), "band", F.expr("block <> block2").alias("sides"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    dealt = large.join(work, ["band", "block"]).select("unit", "block", "sides", "component", "line")
-    members = together.union(dealt).join(texts, "line").select("unit", "block", "sides", "component", "line_text")
+    if held["most"] > 2 * BLOCK:
+        large = count.where(F.col("total") > 2 * BLOCK)
+        main = cut(large.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main")))
+        together = together.union(_dealt(taken_together(lines.join(main, "band"), large.join(main, "band"))))
+    members = together.join(texts, "line").select("unit", "block", "sides", "component", "line_text")
 
     def compare(rows: pa.Table) -> pa.Table:
         sets = shingle_sets(rows.column("line_text"))

@@ -205,3 +205,32 @@ def test_components_in_one_task_are_those_of_the_rounds(spark):
     want = sorted(map(tuple, components(df).collect()))
     assert sorted(map(tuple, components(df, in_task=1000).collect())) == want
     assert components(df.limit(0), in_task=1000).count() == 0
+
+
+def test_large_bands_of_one_component_are_taken_as_one(spark):
+    bands = {1: range(0, 30), 2: range(2, 32), 3: range(1, 31), 4: range(100, 130), 5: range(130, 160)}
+    comp = {x: 7 if x % 10 else x for x in range(100)} | {x: 9 if x % 10 else x for x in range(100, 200)}
+    rows = [(b, comp[x], x) for b, lines in bands.items() for x in lines]
+    size = {(b, c): sum(r[0] == b and r[1] == c for r in rows) for b, c, _ in rows}
+    lines = spark.createDataFrame([(b, c, x, size[b, c], 30, 7 if b < 4 else 9) for b, c, x in rows], "band long, component long, line long, n long, total long, main long")
+    got = ld.taken_together(lines, lines.select("band", "component", "n", "total", "main").distinct()).collect()
+    assert sorted(r["line"] for r in got if r["band"] == 7) == list(range(32))  # the first three bands have 32 lines of 90
+    assert {(r["n"], r["total"]) for r in got if r["band"] == 7 and r["component"] == 7} == {(28, 32)}
+    assert sorted((r["band"], r["line"]) for r in got if r["band"] != 7) == [(b, x) for b in (4, 5) for x in bands[b]]  # no line in common
+    assert len(ld._dealt(spark.createDataFrame(got)).select("line").collect()) < len(ld._dealt(lines.drop("main")).select("line").collect())
+
+
+def test_large_bands_lose_no_line(spark, monkeypatch):
+    monkeypatch.setattr(ld, "BLOCK", 16)
+    rng = random.Random(10)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(500)]
+    base, rows = rng.choices(words, k=18), []
+    for _ in range(400):
+        w = list(base)
+        for k in rng.sample(range(18), 2):
+            w[k] = rng.choice(words)
+        rows.append((len(rows), " ".join(w)))
+    want = brute(rows)
+    got = {r["doc_id"] for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    drops = {i for i, _ in rows if not want[i]}
+    assert not {i for i, _ in rows if want[i]} - got and len(drops & got) <= 0.01 * len(drops), (len(drops & got), len(drops))
