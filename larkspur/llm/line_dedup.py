@@ -20,7 +20,7 @@ import pyarrow as pa
 from larkspur.llm import textbytes as tb
 from larkspur.llm.graph import components
 from larkspur.llm.ngram_join import _bucket, _pack40, _runs, _unpack40
-from larkspur.llm.store import buckets_for, cut, small_batches
+from larkspur.llm.store import buckets_for, cut, drop, small_batches
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ VALUES, BANDS, ROWS = 128, 20, 6
 PERCENT = 80
 #: Keys and numbers that are sent to every executor at most.
 BROADCAST_KEYS = 2_000_000
+#: Where there are more, a map of so many bits for each, a power of two up to 2^MAP_BITS (64 MB) in all, stands for the keys; a task makes 2^PART_BITS of it.
+KEY_BITS, MAP_BITS, PART_BITS = 8, 29, 20
 #: Links that one task joins into components; more are joined in rounds.
 EDGES_IN_TASK = 500_000
 #: Lines of a crowded band that a task compares with as many others.
@@ -462,8 +464,32 @@ def joined_crowds(crowds: DataFrame, parts: DataFrame, texts: DataFrame, percent
     return cut(every.join(up, every["component"] == up["node"], "left").select("line", F.coalesce("to", "component").alias("component")))
 
 
-def _places(among=None):
-    """Gives (line, id, key, number, line_text) of each line, or of those whose hashes are in the broadcast among.
+def _marks(lines: DataFrame, count: int) -> np.ndarray:
+    """A map with a bit set at the head of each line's hash, in bytes: rules out most other lines, and none of these, whatever their number."""
+    bits = int(np.clip(np.ceil(np.log2(KEY_BITS * max(count, 1))), 3, MAP_BITS))
+    part = min(bits, PART_BITS)
+
+    def mark(rows: pa.Table) -> pa.Table:
+        place = np.asarray(rows.column("place"))
+        held = np.zeros(1 << part, bool)
+        held[place & ((1 << part) - 1)] = True
+        return pa.table({"part": pa.array([place[0] >> part], pa.int64()), "marks": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+    place = F.shiftrightunsigned("line", 64 - bits)
+    parts = lines.select(place.alias("place"), F.shiftright(place, part).alias("part")).groupBy("part").applyInArrow(mark, "part long, marks binary")
+    marks = np.zeros((1 << (bits - part), (1 << part) // 8), np.uint8)
+    for row in parts.toLocalIterator():
+        marks[row["part"]] = np.frombuffer(row["marks"], np.uint8)
+    return marks.ravel()
+
+
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes.view(_U) >> _U(65 - (8 * len(marks)).bit_length())
+    return (marks[(place >> _U(3)).astype(np.int64)] << (place & _U(7)).astype(np.uint8)) & np.uint8(128) > 0
+
+
+def _places(among):
+    """Gives (line, id, key, number, line_text) of the lines whose hashes are in the broadcast among, sorted hashes or, in bytes, a map of them.
 
     Of equal lines close to each other one has the text, the others null.
     """
@@ -474,10 +500,12 @@ def _places(among=None):
                 low = tb.lowered(buf)
                 begin, end, text, number, hashes = lines_of(low, off)
                 hashes = hashes.view(np.int64)
-                if among is not None:
-                    known = among.value
+                known = among.value
+                if known.dtype == np.uint8:
+                    some = np.flatnonzero(_marked(known, hashes))
+                else:
                     some = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
-                    begin, end, text, number, hashes = (x[some] for x in (begin, end, text, number, hashes))
+                begin, end, text, number, hashes = (x[some] for x in (begin, end, text, number, hashes))
                 lines, raw = np.full(len(hashes), None, object), low.tobytes()
                 once = np.unique(hashes, return_index=True)[1]
                 lines[once] = [raw[i:j] for i, j in zip(begin[once].tolist(), end[once].tolist())]
@@ -495,31 +523,38 @@ def dropped_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
 
     key is a hash of id and text. The first line by (id, key, number), null ids last, of a component stays. Rows equal in id and
     text are one document: they lose the same lines.
+
+    Texts of lines are dealt out once, into buckets by line, where each comparison finds them. A line that a map of many keys lets through
+    by chance stands once and is in no pair, so it goes with those that are in no component.
     """
     rows = _numbered(docs, id_col, text_col)
     met = cut(candidates(rows, percent))
     pairs, crowds = met.where("not crowd").drop("crowd"), met.where("crowd").drop("crowd")
     ends = cut(pairs.select(F.col("a").alias("line")).union(pairs.where("a <> b").select("b")).distinct())
-    small = ends.count() <= BROADCAST_KEYS
-    among = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(ends.toArrow().column(0)))) if small else None
-    places = rows.select("id", "text", "key").mapInArrow(tb.lean(_places(among)), "line long, id long, key long, number long, line_text string")
-    places = cut(places if small else places.join(ends, "line", "left_semi"))
-    if small:
-        among.destroy()
+    count = ends.count()
+    known = np.sort(np.asarray(ends.toArrow().column(0))) if count <= BROADCAST_KEYS else _marks(ends, count)
+    drop(ends)
+    among = docs.sparkSession.sparkContext.broadcast(known)
+    places = cut(rows.select("id", "text", "key").mapInArrow(tb.lean(_places(among)), "line long, id long, key long, number long, line_text string"))
+    among.destroy()
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key", "number")
-    seen = cut(places.groupBy("line").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("times"), F.min("line_text").alias("line_text")))
+    seen = cut(places.groupBy("line").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("times"), F.min("line_text").alias("line_text")), by="line")
     texts = seen.select("line", "line_text")
     first = texts.select(F.col("line").alias("a"), F.col("line_text").alias("text_a"))
     second = texts.select(F.col("line").alias("b"), F.col("line_text").alias("text_b"))
     linked = cut(similar(pairs.where("a <> b").join(first, "a").join(second, "b"), percent))
     parts = cut(components(linked, in_task=EDGES_IN_TASK).select(F.col("node").alias("line"), "component"))
     parts = joined_crowds(crowds, parts, texts, percent)
+    drop(met)
     lines = seen.join(parts, "line", "left").where("times > 1 or component is not null").select("line", "lo", F.coalesce("component", "line").alias("component"))
     lines = cut(lines)
+    drop(seen)
     stay = lines.groupBy("component").agg(F.min("lo").alias("stay"))
     stay = cut(lines.join(stay, "component").select("line", F.col("stay.key").alias("stay_key"), F.col("stay.number").alias("stay_number")))
     gone = places.select("line", "key", "number").join(stay, "line").where("key <> stay_key or number <> stay_number")
-    return cut(gone.groupBy("key").agg(F.array_sort(F.collect_set("number")).alias("dropped")))
+    gone = cut(gone.groupBy("key").agg(F.array_sort(F.collect_set("number")).alias("dropped")))
+    drop(places)
+    return gone
 
 
 _SOLID = re.compile(r"[^\x20\x09-\x0D]")

@@ -1,10 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from larkspur.llm import line_dedup as ld
 from larkspur.llm.graph import components
+from larkspur.llm.store import cut
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
 
@@ -234,3 +237,73 @@ def test_large_bands_lose_no_line(spark, monkeypatch):
     got = {r["doc_id"] for r in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     drops = {i for i, _ in rows if not want[i]}
     assert not {i for i, _ in rows if want[i]} - got and len(drops & got) <= 0.01 * len(drops), (len(drops & got), len(drops))
+
+
+def test_map_of_keys_rules_out_others_and_no_key(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    keys, others = (rng.integers(-(2**63), 2**63 - 1, 900) for _ in range(2))
+    lines = spark.createDataFrame([(int(k),) for k in keys], "line long")
+    for part in (4, 9, 20):
+        monkeypatch.setattr(ld, "PART_BITS", part)
+        marks = ld._marks(lines, len(keys))
+        assert len(marks) == 1024 and ld._marked(marks, keys).all() and ld._marked(marks, others).mean() < 0.2
+    assert not ld._marked(ld._marks(lines.limit(0), 0), others).any()
+
+
+def test_lines_that_a_crowded_map_lets_through_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(7), "doc_id long, text string").repartition(3)
+    want = sorted(map(str, ld.dedup(df).collect()))
+    monkeypatch.setattr(ld, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(ld, "MAP_BITS", 4)
+    assert sorted(map(str, ld.dedup(df).collect())) == want
+
+
+def _shuffled(spark):
+    store = spark.sparkContext._jsc.sc()
+    store.listenerBus().waitUntilEmpty(30_000)
+    stages = store.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_moved_only_of_lines_with_a_partner(spark, tmp_path, monkeypatch):
+    rng = random.Random(14)
+    lines = ["".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(1000)) for _ in range(400)]
+    lines += [x[:-9] + "another" for x in lines[:100]]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(ld, "BROADCAST_KEYS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        assert ld.dropped_lines(df).count() == 100
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved < 3000 * 500  # the texts have 3,000 bytes each
+
+
+def test_files_of_a_shuffle_go_when_its_result_is_written(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    rows = cut(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count())
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and rows.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_join_on_buckets_moves_one_side(spark):
+    held = cut(spark.range(500).selectExpr("id * 3 as line", "string(id) as line_text").groupBy("line").agg(F.min("line_text").alias("line_text")), by="line")
+    pairs = spark.range(900).selectExpr("id as a")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = pairs.join(held.select(F.col("line").alias("a"), "line_text"), "a")
+        assert {(r["a"], r["line_text"]) for r in joined.collect()} == {(3 * i, str(i)) for i in range(300)}
+        assert joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [t for t in spark.catalog.listTables("default") if t.name.startswith("larkspur_")]
